@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.llm import quality
+from tessera.llm import media, mixing, quality, sharding
 
-QUERIES = {"op4_quality_ratio": quality.op4_quality_ratio}
-SQL = {"op4_quality_ratio": quality.OP4_SQL}
+QUERIES = {
+    "op2_mpeg_audio": media.op2_mpeg_audio,
+    "op4_quality_ratio": quality.op4_quality_ratio,
+    "op5_pareto_mix": mixing.op5_pareto_mix,
+    "op10_hash_tree_shards": sharding.op10_hash_tree_shards,
+}
+SQL = {
+    "op4_quality_ratio": quality.OP4_SQL,
+    "op5_pareto_mix": mixing.OP5_SQL,
+    "op10_hash_tree_shards": sharding.OP10_SQL,
+}
