@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import media, mixing, quality, sharding
+from tessera.llm import media, mixing, packing, quality, sharding
 
 QUERIES = {
+    "op1_bm25_packing": packing.op1_bm25_packing,
     "op2_mpeg_audio": media.op2_mpeg_audio,
     "op4_quality_ratio": quality.op4_quality_ratio,
     "op5_pareto_mix": mixing.op5_pareto_mix,
