@@ -68,3 +68,8 @@ def pick(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
+
+
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Whole texts go to Python in batches of few rows, so that long ones don't add up to much memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -128,7 +128,7 @@ def index(data: bytes) -> dict:
             p += 10 + n
         at = end
     offsets, kinds, ok, bad, skipped, rate, body = [], [], 0, 0, 0, 0, []
-    good: dict[bytes, bool] = {}
+    sums: dict[bytes, bytes] = {}
     while at < len(data):
         h = _header(data, at)
         end = at + h[0] if h else 0
@@ -142,9 +142,9 @@ def index(data: bytes) -> dict:
         rest = side + SIDE + 15 * bool(h[4])
         if h[3]:
             key = data[at + 2 : at + 4] + data[side:rest]
-            if key not in good:
-                good[key] = struct.pack(">H", crc16(key)) == data[at + 4 : at + 6] if len(good) < 4096 else False
-            match = struct.pack(">H", crc16(key)) == data[at + 4 : at + 6] if key not in good else good[key]
+            if key not in sums:
+                sums[key] = struct.pack(">H", crc16(key))
+            match = sums[key] == data[at + 4 : at + 6]
             ok, bad = ok + match, bad + (not match)
         if table is None and not offsets and data[rest : rest + 4] in (b"Xing", b"Info"):
             flags, p = struct.unpack_from(">I", data, rest + 4)[0], rest + 8
@@ -191,6 +191,7 @@ def encoded(docs: DataFrame) -> DataFrame:
                 media.append(mux(raw + b" " * (-len(raw) % BLOCK if raw else BLOCK), len(raw)))
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
+    common.small_batches(docs.sparkSession)
     return common.pick(docs).select("doc_id", F.col("text").cast("binary")).mapInArrow(run, MEDIA)
 
 

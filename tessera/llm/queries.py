@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import media, mixing, packing, quality, sharding
+from tessera.llm import langid, media, mixing, neardup, packing, quality, sharding
 
 QUERIES = {
     "op1_bm25_packing": packing.op1_bm25_packing,
     "op2_mpeg_audio": media.op2_mpeg_audio,
     "op4_quality_ratio": quality.op4_quality_ratio,
     "op5_pareto_mix": mixing.op5_pareto_mix,
+    "op6_langid_ftrl": langid.op6_langid_ftrl,
+    "op7_superminhash_dedup": neardup.op7_superminhash_dedup,
     "op10_hash_tree_shards": sharding.op10_hash_tree_shards,
 }
 SQL = {
