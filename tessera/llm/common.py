@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -73,3 +74,9 @@ def pick(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Whole texts go to Python in batches of few rows, so that long ones don't add up to much memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished jobs now, not when the driver next collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

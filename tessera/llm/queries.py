@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import langid, media, mixing, neardup, packing, quality, sharding
+from tessera.llm import langid, media, mixing, neardup, packing, quality, sharding, substrings
 
 QUERIES = {
     "op1_bm25_packing": packing.op1_bm25_packing,
     "op2_mpeg_audio": media.op2_mpeg_audio,
+    "op3_debruijn_dedup": substrings.op3_debruijn_dedup,
     "op4_quality_ratio": quality.op4_quality_ratio,
     "op5_pareto_mix": mixing.op5_pareto_mix,
     "op6_langid_ftrl": langid.op6_langid_ftrl,
