@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import langid, media, mixing, neardup, packing, quality, sharding, substrings
+from tessera.llm import html, langid, media, mixing, neardup, packing, quality, secrets, sharding, substrings
 
 QUERIES = {
     "op1_bm25_packing": packing.op1_bm25_packing,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_pareto_mix": mixing.op5_pareto_mix,
     "op6_langid_ftrl": langid.op6_langid_ftrl,
     "op7_superminhash_dedup": neardup.op7_superminhash_dedup,
+    "op8_mincut_html": html.op8_mincut_html,
+    "op9_secret_forest": secrets.op9_secret_forest,
     "op10_hash_tree_shards": sharding.op10_hash_tree_shards,
 }
 SQL = {
