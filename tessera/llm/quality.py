@@ -115,7 +115,9 @@ def judged(
 
 def kept_rows(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows that pass, with their own columns."""
-    return judged(docs, labels, **options).where("kept").select("row.*")
+    # A filter that needs the row's number stays above the verdict; pushed down, it would compute the verdict's parts anew.
+    numbered = judged(docs, labels, **options).withColumn("_n", F.monotonically_increasing_id())
+    return numbered.where("kept AND _n >= 0").select("row.*")
 
 
 def op4_quality_ratio(spark, sf_dir: str) -> DataFrame:
