@@ -6,10 +6,17 @@ permutation of the slots step by step, with the step number in front of the draw
 can improve. ``BANDS`` bands of ``ROWS`` values make the buckets.
 
 Within a bucket not all pairs are emitted. In each round every bucket names hubs (at first one, the member that shares most
-buckets, then twice as many in each round); the members of other components are verified against the hubs on full sets,
-and components are joined. Hubs then leave their buckets, and buckets within one component are done. It ends when no
-bucket is left, so every pair of a bucket was either verified or is connected already. With these numbers a pair at the
-threshold of 0.85 is in no common bucket with a probability of 2e-7, and pairs above it more rarely.
+buckets, then four times as many in each round), and its members are compared with the hubs on full sets. Relative to a hub a
+member is linked, ambiguous (similarity of at least 0.7) or far. Jaccard distance is a metric, so a linked and a far member
+can't be linked with each other, and two linked ones are connected already. For the others, with r removed and a added
+elements against the hub and o elements in common among those, x and y are linked exactly when
+185 * o >= (100 * r + 85 * a of x) + (the same of y) - 15 * (size of the hub). An ambiguous member thus has to share
+elements of its difference, and a prefix of the differences in a fixed order (added ones first) is enough to find
+its partners: each such element is a small bucket of its own, one for ambiguous pairs and one for ambiguous with linked
+members, in which ambiguous members are compared with members of other components, in lots. Far and ambiguous members stay
+in their bucket for further hubs while there are far ones. Buckets within one component are done. It ends when no bucket is
+left, so every pair of a bucket was verified, excluded by the rules above, or is connected already. With these numbers a pair at the
+threshold of 0.85 is in no common bucket with a probability of 1e-6, and pairs above it more rarely.
 
 Links hold when 100 * intersection >= 85 * union. Null and empty texts have no set and are linked with nothing. Rows with
 equal ids count as one document if their sets agree. An empty table gives an empty result; further columns are ignored.
@@ -26,8 +33,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common, graph, shingles
 
-K, THRESHOLD = 5, 85
-BANDS, ROWS = 26, 5
+K, THRESHOLD, NEAR = 5, 85, 70
+BANDS, ROWS = 36, 7
 HASHES = BANDS * ROWS
 CHUNK = 128
 
@@ -114,27 +121,45 @@ def signed(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n long, set binary, bands array<long>")
 
 
+LINKED, AMBIGUOUS, FAR = 0, 1, 2
+
+
+def compared(x: np.ndarray, hub: np.ndarray, threshold: int = THRESHOLD) -> tuple[int, np.ndarray, np.ndarray]:
+    """How the set x stands to the hub, and the prefixes of its difference that a partner must share: between ambiguous
+    members, and between an ambiguous and a linked one (empty where there are none to find)."""
+    added, removed = np.setdiff1d(x, hub, assume_unique=True), np.setdiff1d(hub, x, assume_unique=True)
+    both, union = x.size - added.size, hub.size + added.size
+    if 100 * both < NEAR * union:
+        return FAR, added[:0], added[:0]
+    cost, free = 100 * removed.size + threshold * added.size, (100 - threshold) * hub.size
+    order = np.concatenate((added, ~removed))
+    # The least number of shared elements. An ambiguous partner costs over ``free``; any partner costs ``threshold`` or more for each.
+    strict = order[: max(0, order.size - cost // (100 + threshold))]
+    if 100 * both >= threshold * union:
+        return LINKED, added[:0], strict
+    return AMBIGUOUS, strict, order[: max(0, order.size - max(1, -(-(cost - free) // 100)) + 1)]
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose full sets agree by the threshold. texts: (rep, text)."""
+    """a, b, main, kind and prefixes of the pairs (a, hub b, main), from full sets. texts: (rep, text)."""
 
     def run(batches):
         held: tuple = (None, None)
         for b in batches:
-            out = []
+            out: list[tuple] = []
             ids = b.column(1).to_pylist()
             for at in range(0, b.num_rows, CHUNK):
                 part = b.slice(at, CHUNK)
-                s = sets([x or b"" for x in part.column(2).to_pylist()])
-                for i, x in enumerate(s):
+                for i, x in enumerate(sets([x or b"" for x in part.column(3).to_pylist()])):
                     if held[0] != ids[at + i]:
-                        held = (ids[at + i], sets([part.column(3)[i].as_py() or b""])[0])
-                    both = np.intersect1d(x, held[1], assume_unique=True).size
-                    out.append(100 * both >= threshold * (x.size + held[1].size - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.bool_())], ["a", "b", "linked"])
+                        held = (ids[at + i], sets([part.column(4)[i].as_py() or b""])[0])
+                    out.append(compared(x, held[1], threshold))
+            lists = [pa.array([o[k].view(np.int64) for o in out], pa.list_(pa.int64())) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([o[0] for o in out], pa.int32()), *lists], ["a", "b", "main", "kind", "p1", "p2"])
 
     t = texts.select("rep", F.col("text").cast("binary").alias("t"))
     full = pairs.join(t.withColumnRenamed("rep", "a").withColumnRenamed("t", "ta"), "a").join(t.withColumnRenamed("rep", "b").withColumnRenamed("t", "tb"), "b")
-    return full.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean").where("linked").select("a", "b")
+    return full.select("a", "b", "main", "ta", "tb").mapInArrow(run, "a long, b long, main boolean, kind int, p1 array<long>, p2 array<long>")
 
 
 def components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -145,28 +170,45 @@ def components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     rows = common.stored(signed(slim), "signatures")
     classes = rows.where("n > 0").groupBy("set", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     classes = common.stored(classes, "classes")
-    members = classes.select("rep", "n", F.explode("bands").alias("bucket"))
+    members = classes.select("rep", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = common.stored(members.join(shared, "bucket").select("bucket", "rep", "n", "size"), "buckets")
-    fans = buckets.groupBy("rep").agg(F.sum("size").alias("fan"), F.first("n").alias("n"))
-    left = common.stored(buckets.join(fans.select("rep", "fan"), "rep").select("bucket", "rep", "n", "fan", F.col("rep").alias("c")), "left")
+    buckets = common.stored(members.join(shared, "bucket").select("bucket", "rep", "size"), "buckets")
+    fans = common.stored(buckets.groupBy("rep").agg(F.sum("size").alias("fan")), "fans")
+    # form: 0 of a band, 1 of an element between ambiguous members, 2 of an element between ambiguous (may be hubs) and linked ones
+    left = buckets.join(fans, "rep").select("bucket", "rep", "fan", F.col("rep").alias("c"), F.lit(True).alias("may"), F.lit(0).alias("form"))
+    left = common.stored(left, "left")
     texts = common.stored(slim.join(fans.select(F.col("rep").alias("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "rep"), "texts")
-    links, labels, hubs_per = None, None, 1
+    common.release(spark)
+    links, labels, lots = None, None, 1
     while not left.isEmpty():
-        hub = left.withColumn("lot", F.pmod(F.xxhash64("rep"), F.lit(hubs_per))).groupBy("bucket", "lot").agg(F.max(F.struct("fan", (-F.col("rep")).alias("neg"), "n", "c")).alias("h"))
-        hub = common.stored(hub.select("bucket", (-F.col("h.neg")).alias("hub"), F.col("h.n").alias("hn"), F.col("h.c").alias("hc")), "hubs")
-        pairs = left.join(hub, "bucket").where(f"rep <> hub AND c <> hc AND 100 * least(n, hn) >= {threshold} * greatest(n, hn)")
-        new = common.stored(verified(pairs.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), texts, threshold), "found")
-        links = new if links is None else common.stored(links.unionAll(new), "found")
-        if not links.isEmpty():
+        hub = left.where("may").withColumn("lot", F.pmod(F.xxhash64("rep"), F.lit(lots))).groupBy("bucket", "lot")
+        hub = hub.agg(F.max(F.struct("fan", (-F.col("rep")).alias("neg"), "c")).alias("h"))
+        hub = common.stored(hub.select("bucket", (-F.col("h.neg")).alias("hub"), F.col("h.c").alias("hc")), "hubs")
+        pairs = left.select("bucket", "rep", "form", "c", "may").join(hub, "bucket").where("rep <> hub AND (form = 0 OR c <> hc AND NOT (form = 2 AND may))")
+        pairs = common.stored(pairs.select("bucket", "rep", "hub", "form"), "pairs")
+        wanted = pairs.groupBy(F.col("rep").alias("a"), F.col("hub").alias("b")).agg(F.max(F.col("form") == 0).alias("main"))
+        seen = common.stored(verified(wanted, texts, threshold), "seen")
+        new = seen.where(f"kind = {LINKED}").select("a", "b")
+        if not new.isEmpty():
+            links = common.stored(new if links is None else links.unionAll(new), "links")
             labels = graph.components(links)
-        rest = left.drop("c").join(hub.select("bucket", F.col("hub").alias("rep")), ["bucket", "rep"], "left_anti")
-        rest = rest.join(labels, F.col("rep") == F.col("node"), "left").drop("node") if labels is not None else rest.withColumn("component", F.lit(None).cast("long"))
-        rest = common.stored(rest.select("bucket", "rep", "n", "fan", F.coalesce("component", "rep").alias("c")), "left")
-        spread = rest.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("bucket")
-        left = common.stored(rest.join(spread, "bucket"), "left")
-        common.discard(rest)
-        hubs_per *= 2
+        kinds = pairs.where("form = 0").join(seen.select(F.col("a").alias("rep"), F.col("b").alias("hub"), "kind"), ["rep", "hub"]).groupBy("bucket", "rep")
+        kinds = kinds.agg(F.min("kind").alias("k0"), F.max("kind").alias("k1")).where(f"k0 > {LINKED}")
+        kinds = kinds.select("bucket", "rep", (F.col("k1") == FAR).alias("may"), F.lit(0).alias("form"))
+        kinds = kinds.unionByName(left.where("form > 0").select("bucket", "rep", "may", "form"))
+        kinds = kinds.join(hub.select("bucket", F.col("hub").alias("rep")), ["bucket", "rep"], "left_anti")
+        parts = seen.where("main").select(F.col("a").alias("rep"), "b", (F.col("kind") == AMBIGUOUS).alias("may"), "p1", "p2")
+        parts = [parts.select("rep", "b", "may", F.lit(f).alias("form"), F.explode(f"p{f}").alias("e")) for f in (1, 2)]
+        parts = parts[0].unionAll(parts[1]).select(F.xxhash64("b", "e", "form").alias("bucket"), "rep", "may", "form").distinct()
+        both = kinds.unionByName(parts)
+        both = both.join(labels, F.col("rep") == F.col("node"), "left").drop("node") if labels is not None else both.withColumn("component", F.lit(None).cast("long"))
+        rest = common.stored(both.select("bucket", "rep", F.coalesce("component", "rep").alias("c"), "may", "form"), "rest")
+        spread = rest.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("may").alias("m"), F.min("may").alias("l"), F.max("form").alias("f"))
+        spread = spread.where("c0 < c1 AND m AND (f < 2 OR NOT l)").select("bucket")
+        old = (left, hub, pairs, seen)
+        left = common.stored(rest.join(spread, "bucket").join(fans, "rep").select("bucket", "rep", "fan", "c", "may", "form"), "left")
+        common.discard(rest, *old)
+        lots = min(4 * lots, 256)
     named = classes.select("set", "rep")
     if labels is not None:
         named = named.join(labels, F.col("rep") == F.col("node"), "left").select("set", F.coalesce("component", "rep").alias("component"))
