@@ -2,11 +2,11 @@
 
 Documents become token ids, each ended by ``end_id``. A document's full windows stand alone; the rest (shorter than a
 window) is packed. Rows are indexed in shards of at most ``shard_rows`` documents and ``shard_tokens`` tokens, in the
-order of the scan. Each shard has an inverted index from token ids to its rests. The longest unused rest seeds a window;
+order of the scan. Each shard has an inverted index from lower-cased words (hashed into ``TERMS`` cells) to its documents. The longest unused rest seeds a window;
 its BM25 scores against all unused rests of the shard rank the neighbours, which fill the window greedily: the best one
 that fits whole, until none fits, and then the best one cut to the room that is left, whose remainder seeds the next
-window. So every window is full but the last of a shard. Document frequencies for BM25 are counted over all documents
-(a table of the vocabulary's size).
+window. So every window is full but the last of a shard. Document frequencies and the mean length for BM25 are counted
+over all documents (a table of ``TERMS`` numbers).
 
 There is no shuffle but of those counts; a lost task builds the same shards anew from the same rows, so ids agree on
 reruns over the same files and split size. Null and empty texts are the end id alone; repeated rows and ids are packed
@@ -15,8 +15,10 @@ row by row; very long texts are cut into windows; an empty table gives an empty
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -24,17 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import common
+from tessera.llm import common, shingles
 
 WINDOW = 2048
 END_ID = 1
-VOCAB = 1 << 16
+TERMS = 1 << 16
 SHARD_ROWS = 2048
-SHARD_TOKENS = 1 << 22
+SHARD_TOKENS = 1 << 21
 #: BM25's saturation and length normalisation.
 K1, B = 1.2, 0.75
-#: A seed's query: so many of its terms, by BM25 weight. Words kept in a worker's cache.
-QUERY_TERMS, CACHE = 64, 300_000
+#: A seed's query: so many of its terms, by BM25 weight. Words, and pieces, kept in a worker's cache.
+QUERY_TERMS, CACHE = 64, 600_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -67,73 +69,92 @@ def encoder(path: str) -> WordEncoder:
 
 
 class WordEncoder:
-    """Token ids of whole texts, through a cache of words: for vocabularies that never join across white space."""
+    """Token ids of whole texts for a vocabulary that lower-cases, splits words into letters, digits and signs, and never
+    joins pieces: words are looked up, new ones are cut into pieces, and only new pieces are encoded."""
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
         self.of.encode_special_tokens = True
+        pattern = json.loads(self.of.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.cut = regex.compile(pattern).findall
         self.cache: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _cut(self, word: str) -> list[str]:
+        if word.isascii():
+            return self.cut(word.lower())
+        return self.cut("".join(c.lower() for c in unicodedata.normalize("NFC", word)))
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """int32 ids of each text."""
         split = [x.split() if not ODD.search(x) else SPACE.split(x) for x in texts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        cache = self.cache
-        new = list({w for ws in split for w in ws if w not in cache})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.of.encode_batch_fast(part, add_special_tokens=False)):
-                cache[w] = np.array(e.ids, np.int32).tobytes()
+        for d in (self.cache, self.pieces):
+            if len(d) > CACHE:
+                d.clear()
+        cache, pieces = self.cache, self.pieces
+        new = {w: self._cut(w) for w in {w for ws in split for w in ws if w not in cache}}
+        parts = list({p for ps in new.values() for p in ps if p not in pieces})
+        for at in range(0, len(parts), 20_000):
+            some = parts[at : at + 20_000]
+            for p, e in zip(some, self.of.encode_batch_fast(some, add_special_tokens=False)):
+                pieces[p] = np.array(e.ids, np.int32).tobytes()
+        for w, ps in new.items():
+            cache[w] = b"".join(map(pieces.__getitem__, ps))
         get = cache.__getitem__
         return [np.frombuffer(b"".join(map(get, ws)), np.int32) for ws in split]
 
 
-def _encoded(batches, path: str, end_id: int):
-    """(doc ids, arrays of ids with the end id) of slices of the batches of (doc_id, text)."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    enc = encoder(path)
-    tail = np.array([end_id], np.int32)
-    for b in batches:
-        for at in range(0, b.num_rows, 512):
-            part = b.slice(at, 512)
-            texts = [x or "" for x in part.column(1).to_pylist()]
-            yield part.column(0).to_pylist(), [np.concatenate((x, tail)) for x in enc.ids(texts)]
+def _terms(texts: list[bytes]) -> list[np.ndarray]:
+    """The cells of the words of each text, in order."""
+    with np.errstate(over="ignore"):
+        h, _, _, first = shingles.words([t.lower() for t in texts])
+    cells = (h >> np.uint64(48)).astype(np.int64)
+    return [cells[a:b] for a, b in zip(first[:-1], first[1:])]
 
 
-def frequencies(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple[np.ndarray, int, int]:
-    """Documents that hold each token id, documents and tokens, over the whole table; the result has VOCAB entries."""
+def frequencies(docs: DataFrame) -> tuple[np.ndarray, int, int]:
+    """Documents that hold each term, documents and words, over the whole table."""
 
     def run(batches):
-        df, n, total = np.zeros(VOCAB, np.int64), 0, 0
-        for ids, arrays in _encoded(batches, path, end_id):
-            n += len(ids)
-            for x in arrays:
-                total += len(x)
-                df[np.unique(x)] += 1
+        df, n, total = np.zeros(TERMS, np.int64), 0, 0
+        for b in batches:
+            terms = _terms([x or b"" for x in b.column(1).to_pylist()])
+            n += len(terms)
+            total += sum(map(len, terms))
+            own = np.unique(np.concatenate([t + (i << 16) for i, t in enumerate(terms)])) if terms else np.zeros(0, np.int64)
+            df += np.bincount(own & (TERMS - 1), minlength=TERMS)
         at = np.nonzero(df)[0]
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(df[at], [n, total]))], ["term", "df"])
 
     rows = docs.mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
-    got = dict(zip(rows["term"], rows["df"]))
-    df = np.zeros(VOCAB, np.int64)
-    for k, v in got.items():
-        if k >= 0:
-            df[k] = v
-    return df, int(got.get(-1, 0)), int(got.get(-2, 0))
-
-
-def pack_shard(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: int):
-    """Windows of (rest, from, to), in order; every token of every rest lies in exactly one. All rests are shorter than window."""
-    n = len(rests)
-    size = np.array([len(x) for x in rests], np.int64)
-    doc = np.repeat(np.arange(n), size)
-    key, tf = np.unique(np.concatenate(rests).astype(np.int64) * n + doc, return_counts=True) if n else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    term, doc = key // n if n else key, key % n if n else key
-    weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))).astype(np.float32)
-    first = np.searchsorted(term, np.arange(VOCAB + 1))
+    df, got = np.zeros(TERMS, np.int64), rows[rows["term"] >= 0]
+    df[got["term"].to_numpy()] = got["df"].to_numpy()
+    ends = dict(zip(rows["term"], rows["df"]))
+    return df, int(ends.get(-1, 0)), int(ends.get(-2, 0))
+
+
+def _encoded(batches, path: str, end_id: int):
+    """(doc ids, arrays of ids with the end id, terms) of the batches of (doc_id, text)."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    enc = encoder(path)
+    tail = np.array([end_id], np.int32)
+    for b in batches:
+        texts = [x or b"" for x in b.column(1).to_pylist()]
+        yield b.column(0).to_pylist(), [np.concatenate((x, tail)) for x in enc.ids([t.decode() for t in texts])], _terms(texts)
+
+
+def pack_shard(size: np.ndarray, terms: list[np.ndarray], idf: np.ndarray, mean: float, window: int):
+    """Windows of (rest, from, to), in order; every token of every rest lies in exactly one. ``size`` has the rests' tokens,
+    all shorter than the window, ``terms`` the words of their documents."""
+    n = len(size)
+    words = np.array([len(x) for x in terms], np.int64)
+    key, tf = np.unique(np.concatenate(terms) * n + np.repeat(np.arange(n), words), return_counts=True)
+    term, doc = key // n, key % n
+    weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * words[doc] / max(mean, 1e-9)))).astype(np.float32)
+    first = np.searchsorted(term, np.arange(TERMS + 1))
     by_doc = np.lexsort((term, -weight, doc))
     terms_of, doc_at = term[by_doc], np.searchsorted(doc[by_doc], np.arange(n + 1))
 
@@ -187,49 +208,49 @@ def packed(
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = path or default_tokenizer()
     common.small_batches(docs.sparkSession)
-    slim = common.pick(docs)
-    df, n_docs, total = frequencies(slim, path, end_id)
-    idf = docs.sparkSession.sparkContext.broadcast(np.log1p((n_docs - df + 0.5) / (df + 0.5)))  # VOCAB numbers
+    slim = common.pick(docs).select("doc_id", F.col("text").cast("binary"))
+    df, n_docs, total = frequencies(slim)
+    idf = docs.sparkSession.sparkContext.broadcast(np.log1p((n_docs - df + 0.5) / (df + 0.5)))  # TERMS numbers
+    mean = total / max(1, n_docs)
 
-    def shard(ids, arrays, weights, base):
-        out = []
-        rests, whose = [], []
+    def shard(ids, arrays, terms, weights, base):
+        out, whose = [], []
         for k, x in enumerate(arrays):
             full = len(x) // window
             for w in range(full):
                 out.append((ids[k], w * window, window, zlib.crc32(x[w * window : (w + 1) * window].tobytes()), len(x), base, 0))
                 base += 1
             if len(x) % window:
-                rests.append(x[full * window :])
                 whose.append(k)
-        mean = sum(map(len, rests)) / max(1, len(rests))
-        for pieces in pack_shard(rests, weights, mean, window) if rests else ():
+        sizes = np.array([len(arrays[k]) % window for k in whose], np.int64)
+        for pieces in pack_shard(sizes, [terms[k] for k in whose], weights, mean, window) if whose else ():
             offset = 0
             for r, a, b in pieces:
                 x = arrays[whose[r]]
-                out.append((ids[whose[r]], len(x) // window * window + a, b - a, zlib.crc32(rests[r][a:b].tobytes()), len(x), base, offset))
+                start = len(x) // window * window
+                out.append((ids[whose[r]], start + a, b - a, zlib.crc32(x[start + a : start + b].tobytes()), len(x), base, offset))
                 offset += b - a
             base += 1
-        cols = list(zip(*out))
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names), base
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names), base
 
     def run(batches):
         from pyspark import TaskContext
 
         base, weights = TaskContext.get().partitionId() << 40, idf.value
-        ids, arrays, held = [], [], 0
-        for i, xs in _encoded(batches, path, end_id):
-            for d, x in zip(i, xs):
+        ids, arrays, terms, held = [], [], [], 0
+        for i, xs, ts in _encoded(batches, path, end_id):
+            for d, x, t in zip(i, xs, ts):
                 ids.append(d)
                 arrays.append(x)
+                terms.append(t)
                 held += len(x)
                 if len(ids) >= shard_rows or held >= shard_tokens:
-                    out, base = shard(ids, arrays, weights, base)
+                    out, base = shard(ids, arrays, terms, weights, base)
                     yield out
-                    ids, arrays, held = [], [], 0
+                    ids, arrays, terms, held = [], [], [], 0
         if ids:
-            yield shard(ids, arrays, weights, base)[0]
+            yield shard(ids, arrays, terms, weights, base)[0]
 
     return slim.mapInArrow(run, PIECES)
 
