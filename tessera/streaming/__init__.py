@@ -1,0 +1 @@
+"""Tessera streaming."""
