@@ -1,0 +1,217 @@
+"""The corpus operators against brute force, on small tables with nulls, empty texts, ties, repeated rows and extra columns."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from tessera.llm import forest, html, langid, media, mixing, neardup, packing, quality, secrets, sharding, shingles, substrings
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+
+
+def rows():
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 5)))
+    base = [word() for _ in range(120)]
+    shared = [word() for _ in range(30)]
+    out = [(0, None), (1, ""), (2, " \t\n"), (3, "one"), (4, "a b c d"), (5, "A  B\nc d"), (6, "spam " * 90)]
+    for i in range(7, 47):
+        w = list(base) if i % 3 else [word() for _ in range(r.randint(1, 150))] + shared
+        for _ in range(i % 4):
+            w[r.randrange(len(w))] = word()
+        out.append((i, " ".join(w)))
+    out += [(47, out[20][1]), (48, out[20][1])]
+    return [(d, x, "en", None if d % 5 == 0 else f"s{d % 3}", len(x or ""), "e") for d, x in out]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(d, int(d % 2), 0) for d in range(40)], "doc_id long, quality int, toxic int")
+
+
+def words(x):
+    return (x or "").encode().split()
+
+
+def test_hashes_agree_with_words():
+    texts = [b"a b c a b c d", b"", b" x\ty\n", b"a b c"]
+    h, s, e, first = shingles.words(texts)
+    joined = b"\n".join(texts) + b"\n"
+    found = [joined[a:b] for a, b in zip(s, e)]
+    assert first.tolist() == [0, 7, 7, 9, 12] and len(set(found)) == len(set(h.tolist()))
+
+
+def test_near_duplicates(docs, empty):
+    got = {x.doc_id: x for x in neardup.components(docs).collect()}
+    sets = {}
+    for d, x, *_ in rows():
+        w = words((x or "").lower())
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    up = {d: d for d in sets}
+
+    def find(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    assert {d: (x.n_shingles, x.component_id) for d, x in got.items()} == {d: (len(s), find(d)) for d, s in sets.items()}
+    assert neardup.components(empty).count() == 0
+
+
+def test_repeated_passages(docs, empty):
+    got = {x.doc_id: x for x in substrings.deduplicated(docs).collect()}
+    seen = set()
+    for d, x, *_ in sorted(rows(), key=lambda r: r[0]):
+        w = words(x)
+        stay = [True] * len(w)
+        for i in range(len(w) - 19):
+            k = tuple(w[i : i + 20])
+            if k in seen:
+                stay[i : i + 20] = [False] * 20
+            seen.add(k)
+        assert (got[d].n_words, got[d].n_removed, got[d].kept.encode()) == (len(w), stay.count(False), b" ".join(a for a, s in zip(w, stay) if s))
+    assert substrings.deduplicated(empty).count() == 0
+
+
+def test_packing_holds_every_token_once(docs, empty):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    got = packing.packed(docs, window=256).toPandas()
+    for d, x, *_ in rows():
+        ids = np.array(t.encode(x or "", add_special_tokens=False).ids + [1], "<u4")
+        mine, at = got[got.doc_id == d].sort_values("start"), 0
+        for r in mine.itertuples():
+            assert r.start == at and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes()) and r.doc_tokens == len(ids)
+            at += r.length
+        assert at == len(ids)
+    q = got.sort_values(["sequence_id", "offset"])
+    assert (q.offset == q.groupby("sequence_id").length.cumsum() - q.length).all() and q.groupby("sequence_id").length.sum().max() <= 256
+    assert packing.packed(empty).count() == 0
+
+
+def test_tokens_of_odd_white_space_and_signs():
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(packing.default_tokenizer()), packing.WordEncoder(packing.default_tokenizer())
+    t.encode_special_tokens = True
+    for x in ("It's A b\x1cc ÉCOLE é 12ab!!'s", "<|endoftext|> x", "ΣΑΣ İx ²³", ""):
+        assert e.ids([x])[0].tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+def test_media_round_trip_and_resynchronisation(docs):
+    for size in (192, 1344, 1536, 192 * 23):
+        payload = bytes(i % 251 for i in range(size))
+        stream = media.mux(payload, size - 3)
+        found = media.index(stream)
+        assert media.demux(found) == payload and found["crc_bad"] == 0 and found["table"]["frames"] == len(found["offsets"])
+    noisy = media.index(stream[:60].replace(b"ID3", b"XXX") + stream[60:])
+    assert noisy["skipped"] > 0 and noisy["offsets"]
+    broken = bytearray(stream)
+    broken[found["offsets"][1] + 4] ^= 1
+    assert media.index(bytes(broken))["crc_bad"] == 1
+    for x in media.indexed(media.encoded(docs)).collect():
+        raw = (rows()[x.doc_id][1] or "").encode()
+        assert x.n_bytes == len(raw) and bytes(x.payload).startswith(raw) and len(x.payload) % 192 == 0 and set(bytes(x.payload)[len(raw) :]) <= {32}
+
+
+def test_quality_counts_and_verdicts(docs, empty, labels):
+    for x in quality.judged(docs, labels).collect():
+        text = x.row.text or ""
+        w = text.split()
+        win = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        again = {j for i, k in enumerate(win) if win.count(k) > 1 for j in (i, i + 1, i + 2)}
+        assert (x.n_words, x.word_chars, x.n_repeat_words) == (len(w), sum(map(len, w)), len(again))
+        assert x.base_failed == (len(w) < 50 or 100 * len(again) > 50 * len(w)) and (not x.base_failed or not x.kept)
+    assert quality.kept_rows(docs, labels).columns == docs.columns
+    assert quality.judged(empty, labels).count() == 0
+
+
+def test_mix_meets_its_targets(docs, empty):
+    got = mixing.mixed(docs).toPandas()
+    assert len(got) == len(rows()) and (got.taken <= 2 * got["size"]).all()
+    by = got.merge(docs.select("doc_id", "source").toPandas(), on="doc_id").fillna({"source": "-"}).groupby("source")
+    for _, g in by:
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= g["size"].max() / 2 and g.target.iloc[0] <= 2 * g.source_size.iloc[0]
+    assert abs(by.target.first().sum() - 1.5 * got["size"].sum()) < 1e-6
+    assert got.sort_values("doc_id").taken.tolist() == mixing.mixed(docs.repartition(3)).toPandas().sort_values("doc_id").taken.tolist()
+    assert mixing.mixed(empty).count() == 0
+
+
+def test_growing_the_tree_moves_rows_into_new_shards_only(spark, empty):
+    ids = spark.range(4000).selectExpr("id AS doc_id", "cast(id AS string) AS text")
+    leaves = sharding.tree(40)
+    a = sharding.sharded(ids, leaves, sharding.grown(leaves)).toPandas()
+    assert set(a[a.shard != a.grown_shard].grown_shard) == {40} and 50 < (a.grown_shard == 40).sum() < 160
+    assert a.groupby("shard").slot.apply(lambda s: sorted(s) == list(range(len(s)))).all() and a["shard"].nunique() == 40
+    two = sharding.sharded(ids, sharding.grown(leaves), sharding.grown(leaves, 2)).toPandas()
+    assert set(two[two.shard != two.grown_shard].grown_shard) == {41}
+    heavier = [sharding.Leaf(x.region, x.rack, 3.0 if i == 0 else 1.0) for i, x in enumerate(leaves)]
+    moved = sharding.sharded(ids, leaves, heavier).toPandas()
+    moved = moved[moved.shard != moved.grown_shard]
+    assert (moved.grown_shard < 20).all()
+    assert sharding.sharded(empty, leaves).count() == 0
+
+
+def test_language_of_held_out_rows(spark, empty):
+    r = random.Random(1)
+    sample = {"en": "the and that with from this there been".split(), "de": "der und nicht mit auch eine sich über".split()}
+    data = [(i, " ".join(r.choice(sample[k]) for _ in range(30)), k) for i in range(160) for k in [("en", "de")[i % 2]]]
+    df = spark.createDataFrame(data + [(900, None, "en"), (901, "12 !!", "en"), (902, "", None)], "doc_id long, text string, lang string")
+    model = langid.train(df.where(~langid.held_out(df.doc_id)))
+    got = {x.doc_id: x for x in langid.predicted(df.select("doc_id", "text"), model).collect()}
+    held = [(d, k) for d, _, k in data if zlib.crc32(str(d).encode()) % 4 == 2]
+    assert sum(got[d].lang_pred == k for d, k in held) >= 0.95 * len(held) and all(0 <= x.score <= 1 for x in got.values())
+    assert {got[d].lang_pred for d in (900, 901, 902)} == {"und"} and (model[1] == 0).mean() > 0.5
+    assert langid.train(empty.select("doc_id", "text", "lang")) is None
+
+
+def test_main_text():
+    w = html.train()
+    page = '<body><nav><a href=x>Home</a></nav><article><h1>T &amp; u</h1><p>First  one.<p>Second one.<div class="ad">Buy it.</div><p>Third one.</article><footer>&copy; x</footer>'
+    assert html.main_text(page, w) == "T & u\nFirst one.\nSecond one.\nThird one."
+    assert html.main_text("", w) == "" == html.main_text("<script>x</script><!-- y", w)
+    x, y = html.generated(40, 9)
+    assert ((x @ w > 0) == y).mean() > 0.95
+
+
+def test_minimum_cut_by_brute_force():
+    r = random.Random(4)
+    for _ in range(40):
+        n = r.randint(1, 7)
+        s, t = [r.randint(0, 9) for _ in range(n)], [r.randint(0, 9) for _ in range(n)]
+        e = [(i, j, r.randint(0, 5)) for i in range(n) for j in range(i) if r.random() < 0.5]
+        cost = lambda m: sum(b if k else a for a, b, k in zip(s, t, m)) + sum(c for i, j, c in e if m[i] != m[j])
+        best = min(cost([bool(k >> i & 1) for i in range(n)]) for k in range(1 << n))
+        assert cost(html.minimum_cut(s, t, e)) == best
+
+
+def test_secrets(spark, docs):
+    model = secrets.train()
+    x, y = secrets.labelled(600, 77)
+    assert ((forest.predict(model, x) >= 0.5) == y).mean() > 0.97
+    key = hashlib.sha1(b"k").hexdigest()
+    text = f'say token = "{key}" and 4785380592391141 and commit {key[::-1]} end'
+    df = spark.createDataFrame([(1, text, None, 5, "z"), (2, None, "a", None, "z")], "doc_id long, text string, source string, n_chars long, extra string")
+    got = secrets.findings(df, model=model).collect()
+    assert [text[g.start : g.end] for g in got if g.secret] == [key] and len(got) == 3
+    clean = {r.doc_id: r for r in secrets.redacted(df, model=model).collect()}
+    assert key not in clean[1].text and "4785380592391141" in clean[1].text and clean[1].n_chars == len(clean[1].text) and clean[2].text is None
