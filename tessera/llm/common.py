@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.ship import ship
+
 #: Word separators: the space and U+0009 to U+000D.
 WORD_SPACE = "\t\n\x0b\x0c\r"
 
@@ -72,7 +74,8 @@ def pick(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Whole texts go to Python in batches of few rows, so that long ones don't add up to much memory."""
+    """Whole texts go to Python in batches of few rows, so that long ones don't add up to much memory. Ships this package, too."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
