@@ -35,8 +35,8 @@ SHARD_ROWS = 2048
 SHARD_TOKENS = 1 << 21
 #: BM25's saturation and length normalisation.
 K1, B = 1.2, 0.75
-#: A seed's query: so many of its terms, by BM25 weight. Words, and pieces, kept in a worker's cache.
-QUERY_TERMS, CACHE = 64, 600_000
+#: A seed's query: so many of its terms, by BM25 weight. Words, and pieces, kept in a worker's cache; pieces encoded at once.
+QUERY_TERMS, CACHE, LINE = 64, 600_000, 500
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -80,6 +80,9 @@ class WordEncoder:
         self.of.encode_special_tokens = True
         pattern = json.loads(self.of.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.cut = regex.compile(pattern).findall
+        vocab = self.of.get_vocab()
+        self.final = np.zeros(max(vocab.values()) + 1, bool)
+        self.final[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -95,12 +98,15 @@ class WordEncoder:
             if len(d) > CACHE:
                 d.clear()
         cache, pieces = self.cache, self.pieces
-        new = {w: self._cut(w) for w in {w for ws in split for w in ws if w not in cache}}
+        new = {w: self._cut(w) for w in set().union(*split).difference(cache)}
         parts = list({p for ps in new.values() for p in ps if p not in pieces})
-        for at in range(0, len(parts), 20_000):
-            some = parts[at : at + 20_000]
-            for p, e in zip(some, self.of.encode_batch_fast(some, add_special_tokens=False)):
-                pieces[p] = np.array(e.ids, np.int32).tobytes()
+        lines = [" ".join(parts[at : at + LINE]) for at in range(0, len(parts), LINE)]
+        if lines:  # a piece's last token is marked as a word's end, which cuts the ids of a line into those of its pieces
+            flat = np.concatenate([np.array(e.ids, np.int32) for e in self.of.encode_batch_fast(lines, add_special_tokens=False)])
+            ends = (np.nonzero(self.final[flat])[0] + 1).tolist()
+            raw = flat.tobytes()
+            for p, x, y in zip(parts, [0, *ends], ends, strict=False):
+                pieces[p] = raw[4 * x : 4 * y]
         for w, ps in new.items():
             cache[w] = b"".join(map(pieces.__getitem__, ps))
         get = cache.__getitem__
