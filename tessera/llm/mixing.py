@@ -28,7 +28,7 @@ SHARE = 1.5
 REPEAT = 2
 PARTS = 1024
 SALTS = 32
-#: Ranks as log odds lie in (-CLIP, CLIP); beyond, rows share the outermost part.
+#: The draws are odd multiples of half of 1 / UNIT.
 UNIT = float(1 << 52)
 
 
