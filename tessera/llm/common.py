@@ -73,10 +73,16 @@ def pick(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Whole texts go to Python in batches of few rows, so that long ones don't add up to much memory. Ships this package, too."""
+#: Bytes of an Arrow batch on its way to Python, where the session has no setting of its own.
+BATCH_BYTES = 8 << 20
+
+
+def byte_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of whole texts by bytes, unless the session has a bound; results don't depend on it. Ships this package, too."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("bB")) >= 1 << 28:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def release(spark: SparkSession) -> None:

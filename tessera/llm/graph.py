@@ -29,4 +29,30 @@ def components(links: DataFrame) -> DataFrame:
         labels = new
         if not moved:
             common.discard(both)
-            return labels.select(F.col("a").alias("node"), F.col("c").alias("component"))
+            out = labels.select(F.col("a").alias("node"), F.col("c").alias("component"))
+            out._tessera_path = labels._tessera_path
+            return out
+
+
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components (node, component) of labels, if any, with further links (a, b), which may repeat.
+
+    Links are first reduced to distinct ones between components, so only what changes is walked through.
+    """
+    if labels is None:
+        return components(links)
+    of = [labels.select(F.col("node").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab"]
+    met = links.join(of[0], F.col("a") == F.col("na"), "left").join(of[1], F.col("b") == F.col("nb"), "left")
+    met = met.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+    met = common.stored(met, "merges")
+    if met.isEmpty():
+        common.discard(met)
+        return labels
+    up = components(met)
+    # a component that moves takes its nodes with it; a node without a component so far was its own
+    moved = labels.join(up.withColumnRenamed("node", "n").withColumnRenamed("component", "u"), F.col("component") == F.col("n"), "left")
+    moved = moved.select("node", F.coalesce("u", "component").alias("component"))
+    new = up.join(labels.select("node"), "node", "left_anti").select("node", "component")
+    out = common.stored(moved.unionByName(new), "merged")
+    common.discard(met, up)
+    return out

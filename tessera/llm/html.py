@@ -309,7 +309,7 @@ def extracted(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
             texts = [main_text(x.as_py() or "", w) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    common.small_batches(pages.sparkSession)
+    common.byte_batches(pages.sparkSession)
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(run, "page_id long, url string, text string")
 
 

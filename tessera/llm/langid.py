@@ -206,7 +206,7 @@ def held_out(doc_id):
 
 def op6_langid_ftrl(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    common.small_batches(spark)
+    common.byte_batches(spark)
     model = train(docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"))
     out = predicted(common.pick(docs), model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -191,7 +191,7 @@ def encoded(docs: DataFrame) -> DataFrame:
                 media.append(mux(raw + b" " * (-len(raw) % BLOCK if raw else BLOCK), len(raw)))
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    common.small_batches(docs.sparkSession)
+    common.byte_batches(docs.sparkSession)
     return common.pick(docs).select("doc_id", F.col("text").cast("binary")).mapInArrow(run, MEDIA)
 
 

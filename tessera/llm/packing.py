@@ -213,7 +213,7 @@ def packed(
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = path or default_tokenizer()
-    common.small_batches(docs.sparkSession)
+    common.byte_batches(docs.sparkSession)
     slim = common.pick(docs).select("doc_id", F.col("text").cast("binary"))
     df, n_docs, total = frequencies(slim)
     idf = docs.sparkSession.sparkContext.broadcast(np.log1p((n_docs - df + 0.5) / (df + 0.5)))  # TERMS numbers

@@ -165,7 +165,7 @@ def scored(texts: list[str], paths: list[str], model: list) -> list[list[tuple[i
 
 def findings(docs: DataFrame, path_col: str = "source", model: list | None = None) -> DataFrame:
     """One row per candidate: doc_id, start and end (code points), length, value_sha256, score, secret."""
-    common.small_batches(docs.sparkSession)
+    common.byte_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or train())  # a forest of bounded depth
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"))
 
@@ -186,7 +186,7 @@ _SCHEMA = pa.schema(
 
 def redacted(docs: DataFrame, path_col: str = "source", model: list | None = None) -> DataFrame:
     """docs with every secret in text replaced by MARK (and n_chars, if there is one, counted anew)."""
-    common.small_batches(docs.sparkSession)
+    common.byte_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or train())
 
     @F.pandas_udf("string")

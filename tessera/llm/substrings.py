@@ -98,7 +98,7 @@ def placed(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): of every document with a window that also starts earlier, (first window, windows) of those."""
     spark = docs.sparkSession
-    common.small_batches(spark)
+    common.byte_batches(spark)
     slim = docs.where("doc_id IS NOT NULL").select("doc_id", F.col("text").cast("binary"))
     again = common.stored(counted(slim), "minimisers")
     common.release(spark)
