@@ -29,16 +29,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans of data (bytes)."""
+    with np.errstate(over="ignore"):
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(data.size, _BASE, "up"), dtype=np.uint64)))
+        h = (total[ends] - total[starts]) * _power(data.size, _INVERSE, "down")[starts]
+        return mix(h + (ends - starts).astype(np.uint64))
+
+
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the texts joined by a line end: the words' 64-bit hashes, their starts and ends, and per text the first word's number."""
     joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    space = _SPACE[joined]
-    edge = np.diff(space.view(np.int8), prepend=1)
+    edge = np.diff(_SPACE[joined].view(np.int8), prepend=1)
     starts, ends = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * _power(joined.size, _BASE, "up"), dtype=np.uint64)))
-    h = (total[ends] - total[starts]) * _power(joined.size, _INVERSE, "down")[starts]
     bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return mix(h + (ends - starts).astype(np.uint64)), starts, ends, np.searchsorted(starts, bounds)
+    return hashes(joined, starts, ends), starts, ends, np.searchsorted(starts, bounds)
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:

@@ -4,10 +4,9 @@ import hashlib
 import random
 import zlib
 
-import numpy as np
 import pytest
 
-from tessera.llm import forest, html, langid, media, mixing, neardup, packing, quality, secrets, sharding, shingles, substrings
+from tessera.llm import forest, html, langid, media, mixing, quality, secrets, sharding, shingles
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 
@@ -54,69 +53,6 @@ def test_hashes_agree_with_words():
     assert first.tolist() == [0, 7, 7, 9, 12] and len(set(found)) == len(set(h.tolist()))
 
 
-def test_near_duplicates(docs, empty):
-    got = {x.doc_id: x for x in neardup.components(docs).collect()}
-    sets = {}
-    for d, x, *_ in rows():
-        w = words((x or "").lower())
-        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
-    up = {d: d for d in sets}
-
-    def find(a):
-        while up[a] != a:
-            a = up[a]
-        return a
-
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
-                up[max(x, y)] = min(x, y)
-    assert {d: (x.n_shingles, x.component_id) for d, x in got.items()} == {d: (len(s), find(d)) for d, s in sets.items()}
-    assert neardup.components(empty).count() == 0
-
-
-def test_repeated_passages(docs, empty):
-    got = {x.doc_id: x for x in substrings.deduplicated(docs).collect()}
-    seen = set()
-    for d, x, *_ in sorted(rows(), key=lambda r: r[0]):
-        w = words(x)
-        stay = [True] * len(w)
-        for i in range(len(w) - 19):
-            k = tuple(w[i : i + 20])
-            if k in seen:
-                stay[i : i + 20] = [False] * 20
-            seen.add(k)
-        assert (got[d].n_words, got[d].n_removed, got[d].kept.encode()) == (len(w), stay.count(False), b" ".join(a for a, s in zip(w, stay) if s))
-    assert substrings.deduplicated(empty).count() == 0
-
-
-def test_packing_holds_every_token_once(docs, empty):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(packing.default_tokenizer())
-    got = packing.packed(docs, window=256).toPandas()
-    for d, x, *_ in rows():
-        ids = np.array(t.encode(x or "", add_special_tokens=False).ids + [1], "<u4")
-        mine, at = got[got.doc_id == d].sort_values("start"), 0
-        for r in mine.itertuples():
-            assert r.start == at and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes()) and r.doc_tokens == len(ids)
-            at += r.length
-        assert at == len(ids)
-    q = got.sort_values(["sequence_id", "offset"])
-    assert (q.offset == q.groupby("sequence_id").length.cumsum() - q.length).all() and q.groupby("sequence_id").length.sum().max() <= 256
-    assert packing.packed(empty).count() == 0
-
-
-def test_tokens_of_odd_white_space_and_signs():
-    from tokenizers import Tokenizer
-
-    t, e = Tokenizer.from_file(packing.default_tokenizer()), packing.WordEncoder(packing.default_tokenizer())
-    t.encode_special_tokens = True
-    for x in ("It's A b\x1cc ÉCOLE é 12ab!!'s", "<|endoftext|> x", "ΣΑΣ İx ²³", ""):
-        assert e.ids([x])[0].tolist() == t.encode(x, add_special_tokens=False).ids
-
-
 def test_media_round_trip_and_resynchronisation(docs):
     for size in (192, 1344, 1536, 192 * 23):
         payload = bytes(i % 251 for i in range(size))
