@@ -2,18 +2,20 @@
 
 ``targets`` gives every source its share of a total by weight; a share stops at ``repeat`` times the source's size and the
 excess goes to the others by weight until none is above (one level fills all sources: target = least(repeat * size,
-level * weight)). A document's expected number of copies is target / size of its source. Its whole part is taken for
+level * weight)). Within a source, ``inclusions`` gives documents unequal expected copies: least(repeat, level * measure), where the measure
+is the square root of the size's power of two, so a document of four times the length is expected twice as often, and the
+level is such that the expected words are the target. The whole part of that is taken for
 certain. For the rest, the inclusion probability p, documents are ranked by (u / (1 - u)) / (p / (1 - p)), with u from
-the md5 of the id, and the sample is the shortest-ranked prefix whose words stay within what the target still lacks,
+the md5 of the id, and the sample has a fixed size in words: the shortest-ranked prefix whose words stay within what the target still lacks,
 then the one further document of its source whose size is nearest to the gap, if it brings the total closer.
 
 Ranks are cut into ``parts`` ordered parts; sizes are summed by source and part, and only the part in which a source's
 prefix ends is ranked row by row, so a source that holds a third of all rows is never in one task. Sources meet their
-targets by a join on (source, salt).
+targets by a join on (source, class of size, salt).
 
 A null text has size 0 and is taken 0 times for the mix's words; a null source is a source of its own, the last by order;
 ties in rank fall to the lesser id, then to the lesser CRC-32 of the text; rows that agree in all of these are
-interchangeable. An empty table gives an empty result; further columns are ignored.
+interchangeable. A very long text is a row like others. An empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,6 +46,24 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return view.selectExpr("skey", "source_size", "CASE WHEN water IS NULL THEN cap ELSE least(cap, water * weight) END AS target")
 
 
+#: The class of a size, its binary digits less one, and the square root of its power of two.
+CLASS = "length(bin(size)) - 1"
+MEASURE = "power(2D, floor(k / 2)) * CASE WHEN k % 2 = 1 THEN 1.4142135623730951D ELSE 1D END"
+
+
+def inclusions(words: DataFrame, repeat: int = REPEAT) -> DataFrame:
+    """skey, k, source_size, target, whole, p, rest of (skey, k, words, source_size, target), one row per source and class: the
+    expected copies whole + p of the class, and the words that the source's target lacks after the whole ones."""
+    view = words.selectExpr("*", f"{MEASURE} AS m").selectExpr("*", f"cast({repeat} * words AS double) AS cap", "words * m AS weight")
+    order = "OVER (PARTITION BY skey ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    level = f"try_divide(target - coalesce(sum(cap) {order}, 0), sum(weight) OVER (PARTITION BY skey) - coalesce(sum(weight) {order}, 0))"
+    # The longest class that its level doesn't fill sets the level of all; if none, every class is full.
+    view = view.selectExpr("*", f"{level} AS level").selectExpr("*", f"max_by(level, CASE WHEN level * m <= {repeat} THEN k END) OVER (PARTITION BY skey) AS water")
+    view = view.selectExpr("*", f"CASE WHEN source_size = 0 THEN 0D WHEN water IS NULL THEN {float(repeat)!r}D ELSE least({float(repeat)!r}D, water * m) END AS copies")
+    view = view.selectExpr("*", "floor(copies) AS whole")
+    return view.selectExpr("skey", "k", "source_size", "target", "whole", "copies - whole AS p", "target - sum(whole * words) OVER (PARTITION BY skey) AS rest")
+
+
 def mixed(
     docs: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
@@ -62,14 +82,13 @@ def mixed(
     slim = slim.withColumn("skey", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("v"), "source")))
     bits = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double")
     slim = common.stored(slim.withColumn("u", (bits + 0.5) / UNIT), "mix")
-    sizes = slim.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
-    aims = common.stored(targets(sizes, weights, share, repeat), "mix-targets")
+    slim = slim.withColumn("k", F.expr(CLASS))
+    words = slim.groupBy("skey", "k").agg(F.first("source").alias("source"), F.sum("size").alias("words"))
+    sizes = words.groupBy("skey").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
+    aims = common.stored(inclusions(words.drop("source").join(targets(sizes, weights, share, repeat), "skey"), repeat), "mix-targets")
 
-    aims = aims.withColumn("mean", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    aims = aims.withColumn("whole", F.floor("mean")).withColumn("p", F.col("mean") - F.col("whole"))
-    aims = aims.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     salted = aims.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = slim.withColumn("salt", F.pmod(F.xxhash64("doc_id", "crc"), F.lit(salts)).cast("int")).join(salted, ["skey", "salt"]).drop("salt")
+    rows = slim.withColumn("salt", F.pmod(F.xxhash64("doc_id", "crc"), F.lit(salts)).cast("int")).join(salted, ["skey", "k", "salt"]).drop("salt")
     # q / (1 + q) for the rank q = odds(u) / odds(p): in (0, 1), in the order of q, and not dense where the prefix ends (q near 1)
     rank = F.when(F.col("p") <= 0, 1.0).otherwise(F.col("u") * (1 - F.col("p")) / (F.col("u") * (1 - F.col("p")) + F.col("p") * (1 - F.col("u"))))
     rows = rows.withColumn("rank", rank).withColumn("part", F.least(F.floor(F.col("rank") * parts), F.lit(parts - 1)).cast("int"))
@@ -84,7 +103,7 @@ def mixed(
     inside = inside.selectExpr("*", "before + sum(size) OVER (PARTITION BY skey ORDER BY rank, doc_id, crc ROWS UNBOUNDED PRECEDING) AS upto")
     inside = inside.withColumn("chosen", (F.col("p") > 0) & (F.col("upto") <= F.col("rest")))
     outside = rows.where("end IS NULL OR part <> end").withColumn("upto", F.lit(None).cast("long")).withColumn("chosen", (F.col("p") > 0) & F.coalesce(F.col("part") < F.col("end"), F.lit(False)))
-    picked = common.stored(inside.unionByName(outside).drop("before", "end", "part", "upto", "u", "mean"), "mix-picked")
+    picked = common.stored(inside.unionByName(outside).drop("before", "end", "part", "upto", "u", "k"), "mix-picked")
 
     held = picked.groupBy("skey").agg(F.first("rest").alias("rest"), F.coalesce(F.sum(F.when(F.col("chosen"), F.col("size"))), F.lit(0)).alias("got"))
     gaps = held.selectExpr("skey", "rest - got AS gap").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -129,12 +148,20 @@ filled AS (SELECT w.skey, w.cap, w.weight, (w.total - coalesce(sum(o.cap), 0)) /
   GROUP BY w.skey, w.cap, w.weight, w.total),
 water AS (SELECT min_by(level, cap / weight) AS water FROM filled WHERE level <= cap / weight),
 aim AS (SELECT w.skey, source_size, CASE WHEN water IS NULL THEN cap ELSE least(cap, water * weight) END AS target FROM w, water),
+cls AS (
+  SELECT skey, k, words, source_size, target, power(2, k // 2) * CASE WHEN k % 2 = 1 THEN 1.4142135623730951::DOUBLE ELSE 1 END AS m
+  FROM (SELECT skey, length(bin(size)) - 1 AS k, sum(size)::BIGINT AS words FROM d GROUP BY ALL) JOIN aim USING (skey)),
+lev AS (
+  SELECT *, (target - coalesce(sum({REPEAT} * words) OVER w, 0)) / nullif(sum(words * m) OVER (PARTITION BY skey) - coalesce(sum(words * m) OVER w, 0), 0) AS level
+  FROM cls WINDOW w AS (PARTITION BY skey ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+e AS (
+  SELECT l.*, CASE WHEN source_size = 0 THEN 0 WHEN x.water IS NULL THEN {REPEAT}::DOUBLE ELSE least({REPEAT}::DOUBLE, x.water * m) END AS copies
+  FROM lev l LEFT JOIN (SELECT skey, max_by(level, k) AS water FROM lev WHERE level * m <= {REPEAT} GROUP BY skey) x USING (skey)),
 m AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
-         CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END - whole AS p, target - whole * source_size AS rest FROM aim),
+  SELECT skey, k, source_size, target, floor(copies) AS whole, copies - floor(copies) AS p, target - sum(floor(copies) * words) OVER (PARTITION BY skey) AS rest FROM e),
 r AS MATERIALIZED (
-  SELECT doc_id, skey, size, source_size, target, whole, p, rest, CASE WHEN p <= 0 THEN 1.0 ELSE u * (1 - p) / (u * (1 - p) + p * (1 - u)) END AS rank
-  FROM d JOIN m USING (skey)),
+  SELECT doc_id, d.skey, size, source_size, target, whole, p, rest, CASE WHEN p <= 0 THEN 1.0 ELSE u * (1 - p) / (u * (1 - p) + p * (1 - u)) END AS rank
+  FROM d JOIN m ON d.skey = m.skey AND length(bin(d.size)) - 1 = m.k),
 c AS MATERIALIZED (SELECT *, p > 0 AND sum(size) OVER (PARTITION BY skey ORDER BY rank, doc_id ROWS UNBOUNDED PRECEDING) <= rest AS chosen FROM r),
 g AS (SELECT skey, any_value(rest) - coalesce(sum(size) FILTER (WHERE chosen), 0) AS gap FROM c GROUP BY skey),
 x AS (
