@@ -1,13 +1,15 @@
 """Secret scans: candidate strings, then a random forest that removes false positives.
 
-Candidates are runs of at least ``SHORTEST`` characters of keys and tokens with a digit in them, and whole private key
-blocks. The forest looks at a candidate's length, character classes and transitions between them, entropy, the share of it
-that dictionary words cover, the words before and after it, and the path it comes from. It is trained on labelled findings
+Candidates are whole private key blocks, the passwords of links, values of 8 characters or more that follow a name like ``password`` and an
+equals sign or colon, or ``Bearer``, and runs of at least ``SHORTEST`` characters of keys and tokens that aren't plain words.
+The forest looks at a candidate's length, character classes and transitions between them, entropy, the share of it
+that dictionary words cover, the words before and after it, and the path it comes from. The dictionary is that of the corpus: its
+words of letters in ``LEAST_ROWS`` rows or more, of which the most frequent make up at most ``DICTIONARY`` words. The forest is trained on labelled findings
 (``labelled``): generated secrets in assignments, headers and links, and generated look-alikes such as digests, ids,
-numbers, addresses and placeholders. Candidates that score ``THRESHOLD`` or more are secrets.
+numbers, addresses and placeholders; other labelled findings may be given. Candidates that score ``THRESHOLD`` or more are secrets.
 
-Null and empty texts have no findings; a null path is an empty one; whole texts are read, whatever their length; equal rows
-give equal findings; an empty table gives an empty result; further columns are ignored (redaction keeps them).
+Null and empty texts have no findings; a null path is an empty one; whole texts are read, whatever their length, in linear time; equal rows
+give equal findings; equal counts of words all stay in the dictionary or all leave; an empty table gives an empty result; further columns are ignored (redaction keeps them).
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import math
 import random
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,36 +28,57 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common, forest
 
-SHORTEST, THRESHOLD = 16, 0.5
+SHORTEST, SHORT, THRESHOLD = 16, 8, 0.5
+LEAST_ROWS, DICTIONARY = 3, 20_000
 MARK = "[SECRET]"
-CANDIDATE = re.compile(
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----|(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/=.-]*[0-9])[A-Za-z0-9_+/=.-]{16,}", re.DOTALL
-)
+RUN = re.compile(r"[A-Za-z0-9_+/=.-]{16,}")
+BEGIN, END = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"), re.compile(r"-----END [A-Z ]{0,40}PRIVATE KEY-----")
+VALUE = re.compile(r"""(?::=|=>|=|:|\b[Bb]earer[ \t])[ \t]{0,3}["'`]?([^\s"'`,;<>(){}\[\]]{8,})""")
+LINK = re.compile(r"://[^\s/:@]{1,64}:([^\s/:@]{4,200})@")
+NAMED = re.compile(r"""([A-Za-z][\w-]*)["'`]?[ \t]{0,3}\Z""")
+WORD = re.compile(r"(?<![A-Za-z])[A-Za-z]{4,14}(?![A-Za-z])")
 HINTS = frozenset("token secret password passwd pwd key apikey api_key auth authorization bearer credential credentials private access_token client_secret".split())
 HARMLESS = frozenset("commit sha sha1 sha256 md5 checksum digest uuid guid id hash etag version build revision from order card account phone isbn serial trace request".split())
 PLACEHOLDER = frozenset("example sample dummy placeholder test fake changeme your redacted".split())
 RISKY_PATH, CALM_PATH = re.compile(r"\.env|config|secret|credential|\.pem|settings|deploy"), re.compile(r"test|spec|doc|lock|example|fixture|vendor")
 #: Starts that issuers give to their tokens; fixed values.
 STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "rk_live_", "AIza", "eyJ", "npm_", "SG.")
-DICTIONARY = frozenset(
-    "about account after again also another article because before begin between build cache change check class click client code come computer config content "
-    "contact could count country data date default delete design detail device different document domain download each email error event every example file find "
-    "first form found from function general group have header help home host house image import include index info input into item language large last left level "
-    "library line link list local long main make manager map member menu message method model module more most name network never node note number object office "
-    "only open option order other over page part path people photo place plan point post price product project public query read record report request result "
-    "return right root school search section select server service session simple site size some source start state static story string style support system table "
-    "team test text that then there thing this time title type under update upload user value version video view water week where which will with word work world "
-    "write year your".split()
-)
-FEATURES = 17
+FEATURES = 19
 
 
-def _covered(value: str) -> float:
+def dictionary(docs: DataFrame, least: int = LEAST_ROWS, size: int = DICTIONARY) -> frozenset[str]:
+    """The lower-cased words of 4 to 14 letters that at least ``least`` rows hold, of docs (text); if they are over ``size``, the
+    least is doubled until they aren't."""
+
+    def run(batches):
+        seen: Counter[str] = Counter()
+        for b in batches:
+            for x in b.column(0):
+                seen.update(set(map(str.lower, WORD.findall(x.as_py() or ""))))
+            if len(seen) > 300_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+                seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+    counts = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counts = common.stored(counts, "words")
+    # words by the number of doublings of the least that they reach: a few rows
+    steps = counts.groupBy(F.floor(F.log2(F.col("n") / F.lit(least))).alias("k")).count().collect()
+    reach, k = 0, max((r["k"] for r in steps), default=0)
+    while k >= 0 and reach + sum(r["count"] for r in steps if r["k"] == k) <= size:
+        reach += sum(r["count"] for r in steps if r["k"] == k)
+        k -= 1
+    words = frozenset(r["word"] for r in counts.where(F.floor(F.log2(F.col("n") / F.lit(least))) > k).collect())
+    common.discard(counts)
+    return words
+
+
+def _covered(value: str, words: frozenset[str]) -> float:
     """Share of the characters that dictionary words of four letters or more cover, longest first from the left."""
     low, at, got = value.lower(), 0, 0
     while at < len(low):
-        for n in range(min(10, len(low) - at), 3, -1):
-            if low[at : at + n] in DICTIONARY:
+        for n in range(min(14, len(low) - at), 3, -1):
+            if low[at : at + n] in words:
                 got += n
                 at += n
                 break
@@ -63,7 +87,12 @@ def _covered(value: str) -> float:
     return got / max(1, len(low))
 
 
-def features(text: str, start: int, end: int, path: str) -> list[float]:
+def _sensitive(name: str) -> bool:
+    parts = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1_\2", name).lower())
+    return any(p in HINTS for p in parts) or name.lower() in HINTS
+
+
+def features(text: str, start: int, end: int, path: str, words: frozenset[str]) -> list[float]:
     v = text[start:end]
     n = len(v)
     kinds = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in v]
@@ -73,6 +102,7 @@ def features(text: str, start: int, end: int, path: str) -> list[float]:
     prior = re.findall(r"[a-z0-9_]+", before.lower())[-3:]
     later = re.findall(r"[a-z0-9_]+", after.lower())[:3]
     tail = before.rstrip("\"'` ")
+    name = NAMED.search(tail.rstrip(":=> \t")[-45:])
     return [
         n,
         len(shown) / n,
@@ -82,10 +112,12 @@ def features(text: str, start: int, end: int, path: str) -> list[float]:
         sum(c in "0123456789abcdefABCDEF" for c in v) / n,
         sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, len(kinds) - 1),
         max(map(len, re.findall(r"[A-Za-z]+", v)), default=0) / n,
-        _covered(v),
+        _covered(v, words),
         float(v.startswith(STARTS) or v.startswith("-----BEGIN")),
         float(tail.endswith(("=", ":", ":=", "=>"))),
-        float(any(w in HINTS or w.endswith(("_key", "_token", "_secret", "_password")) for w in prior)),
+        float(any(_sensitive(w) for w in prior)),
+        float(bool(name) and tail.endswith(("=", ":", ">")) and _sensitive(name[1])),
+        sum(not c.isalnum() for c in v) / n,
         float(any(w in HARMLESS for w in prior)),
         float(any(w in PLACEHOLDER for w in (*prior, *later)) or bool(re.search(r"example|xxxx|0000|1234", v, re.I))),
         float(v.count(".")),
@@ -94,30 +126,72 @@ def features(text: str, start: int, end: int, path: str) -> list[float]:
     ]
 
 
+def _shaped(v: str) -> bool:
+    """Whether a run is more than words joined by signs: it has a digit, or changes from lower to upper case within a word twice."""
+    return any(c.isdigit() for c in v) or sum(a.islower() and b.isupper() for a, b in zip(v, v[1:])) >= 2
+
+
+def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    while end > start and text[end - 1] in ".-/":
+        end -= 1
+    return start, end
+
+
 def spans(text: str) -> list[tuple[int, int]]:
-    out = []
-    for m in CANDIDATE.finditer(text):
-        end = m.end()
-        while end > m.start() and text[end - 1] in ".-/":
-            end -= 1
-        if end - m.start() >= SHORTEST and any(c.isdigit() for c in text[m.start() : end]):
-            out.append((m.start(), end))
+    """The candidates (start, end), in order and apart; of overlapping ones blocks and values come before runs, then the one that starts first."""
+    found, at = [], 0
+    while (m := BEGIN.search(text, at)) and (e := END.search(text, m.end())):
+        found.append((m.start(), 0, e.end()))
+        at = e.end()
+    for m in LINK.finditer(text):
+        found.append((m.start(1), 1, m.end(1)))
+    for m in VALUE.finditer(text):
+        name = NAMED.search(text[max(0, m.start() - 45) : m.start()])
+        if text[m.start()] in "bB" or (name and _sensitive(name[1])):
+            a, b = _trimmed(text, m.start(1), m.end(1))
+            if b - a >= SHORT:
+                found.append((a, 1, b))
+    for m in RUN.finditer(text):
+        a, b = _trimmed(text, *m.span())
+        while a < b and text[a] in "=./-" and not text.startswith("-----", a):
+            a += 1
+        if b - a >= SHORTEST and _shaped(text[a:b]):
+            found.append((a, 2, b))
+    out: list[tuple[int, int]] = []
+    for runs in (False, True):
+        kept, k, upto = [], 0, -1
+        for a, kind, b in sorted(x for x in found if (x[1] == 2) == runs):
+            while k < len(out) and out[k][1] <= a:
+                k += 1
+            if a >= upto and (k == len(out) or b <= out[k][0]):
+                kept.append((a, b))
+                upto = b
+        out = sorted(out + kept)
     return out
 
 
-def labelled(count: int = 3000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Generated findings: features and labels, as many of either kind."""
-    r = random.Random(seed)
+def labelled(count: int = 5000, seed: int = 5, words: frozenset[str] = frozenset()) -> tuple[np.ndarray, np.ndarray]:
+    """Generated findings: features and labels, as many of either kind. words: the dictionary."""
+    r, listed = random.Random(seed), sorted(words)
     alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
     of = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
-    word = lambda: r.choice((of("abcdehilnorstu", r.randint(2, 9)), r.choice(sorted(DICTIONARY))))
+    made = lambda: of("abcdehilnorstu", r.randint(2, 9))
+    word = lambda: r.choice(listed) if listed and r.random() < 0.7 else made()
     secret = (
         lambda: of("0123456789abcdef", r.choice((32, 40, 40, 40, 64))),
-        lambda: of(alnum, r.randint(20, 64)),
+        lambda: of(alnum, r.randint(16, 64)),
         lambda: of(alnum + "+/", 40),
+        lambda: of(alnum[:52], r.randint(16, 40)),
         lambda: r.choice(STARTS) + of(alnum, r.randint(16, 40)),
         lambda: "eyJ" + of(alnum, 30) + "." + of(alnum, 60) + "." + of(alnum + "_-", 43),
     )
+    short = (
+        lambda: of(alnum + "!@#$%^&*?", r.randint(8, 15)),
+        lambda: word() + of("0123456789", r.randint(1, 4)) + r.choice(("", "!", "#", "secret", made())),
+        lambda: r.choice("PpSsAaQq") + of("@$0135!", 2) + made() + of("0123456789!#", 3),
+        lambda: word().capitalize() + r.choice("-_.") + word().capitalize() + of("0123456789", r.randint(1, 3)),
+    )
+    named = ("token", "api_key", "secret", "password", "client_secret", "aws_secret_key", "Authorization: Bearer", "access_token", "auth", "passwd", "dbPassword", "API_TOKEN")
     innocent = (
         lambda: of("0123456789", r.randint(16, 19)),
         lambda: ".".join(str(r.randint(100, 255)) for _ in range(4)) + "." + str(r.randint(10, 99)),
@@ -129,6 +203,10 @@ def labelled(count: int = 3000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
         lambda: r.choice(("xxxxxxxxxxxxxxxx0000", "your_api_key_12345678", "example1234567890abcdef", "0000000000000000", "changeme_changeme_1234")),
         lambda: "-" * r.randint(12, 30) + of("0123456789", 4) + "-" * 4,
         lambda: "v" + ".".join(str(r.randint(0, 20)) for _ in range(3)) + "-" + word() + "." + of("0123456789", 8),
+        lambda: r.choice((word, lambda: word() + word(), lambda: word() + "_" + word(), lambda: word() + "-" + word()))() or "required",
+        lambda: r.choice(("${TOKEN}", "********", "changeme", "placeholder", "required", "undefined", "process.env.TOKEN", "os.environ", "config.password", "$PASSWORD", "YOUR_TOKEN", "redacted", "see-below")),
+        lambda: word().capitalize() + word().capitalize() + word().capitalize() + r.choice(("", "2", "V1")),
+        lambda: made() + word() + "." + of("0123456789", 2),
     )
     rows, labels = [], []
     while len(labels) < count:
@@ -136,37 +214,54 @@ def labelled(count: int = 3000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
         left, right = " ".join(word() for _ in range(r.randint(0, 6))), " ".join(word() for _ in range(r.randint(0, 6)))
         path = r.choice(("", "", "src1", "web", "config/prod.env", "docs/a.md", "tests/x.py", "app/settings.py"))
         if good:
-            v, name = r.choice(secret)(), r.choice(("token", "api_key", "secret", "password", "client_secret", "aws_secret_key", "Authorization: Bearer", "access_token", "auth"))
-            text = r.choice((f'{left} {name} = "{v}" {right}', f"{left} {name}: {v}\n{right}", f"{left} {name}={v} {right}", f"{left} '{name}': '{v}', {right}", f'{left} {name} => "{v}"### {right}'))
-            if r.random() < 0.1 and v.startswith(STARTS):
-                text = f"{left} {v} {right}"
+            brief = r.random() < 0.3
+            v, name = r.choice(short if brief else secret)(), r.choice(named)
+            text = r.choice((f'{left} {name} = "\0" {right}', f"{left} {name}: \0\n{right}", f"{left} {name}=\0 {right}", f"{left} '{name}': '\0', {right}", f'{left} {name} => "\0"### {right}'))
+            if brief and r.random() < 0.15:
+                text = f"{left} postgres://{made()}:\0@{made()}/{made()} {right}"
+            elif not brief and r.random() < 0.1 and v.startswith(STARTS):
+                text = f"{left} \0 {right}"
         else:
             k = r.randrange(len(innocent))
             v = innocent[k]()
-            name = r.choice(("commit", "sha256", "checksum", "md5", "uuid", "etag", "build", "revision", "id")) if k in (2, 5) else word()
-            text = r.choice((f"{left} {name} {v} {right}", f"{left} {name}: {v} {right}", f'{left} {name} = "{v}" {right}')) if k != 7 else f'{left} {r.choice(("token", "key", "password", word()))} = "{v}" {right}'
-        at = text.index(v)
-        rows.append(features(text, at, at + len(v), path))
+            name = r.choice(("commit", "sha256", "checksum", "md5", "uuid", "etag", "build", "revision", "id")) if k in (2, 5) else r.choice(named) if k in (7, 10, 11) else word()
+            text = r.choice((f"{left} {name} \0 {right}", f"{left} {name}: \0 {right}", f'{left} {name} = "\0" {right}')) if k not in (7, 10, 11) else r.choice((f'{left} {name} = "\0" {right}', f"{left} {name}: \0 {right}"))
+            if k == len(innocent) - 1:
+                text = f"{left} \0@{made()}{r.randint(0, 9)}.{word()}.{r.choice(('com', 'org', 'net'))} {right}"
+        at = text.index("\0")
+        text = text.replace("\0", v)
+        rows.append(features(text, at, at + len(v), path, words))
         labels.append(good)
     return np.array(rows), np.array(labels)
 
 
-def train() -> list:
-    return forest.fit(*labelled())
+class Model(NamedTuple):
+    """The forest and the dictionary of its features: both of bounded size."""
+
+    trees: list
+    words: frozenset
+
+
+def train(words: frozenset[str] = frozenset(), findings: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
+    """A model of generated findings, and of further labelled ones (features, labels) if there are any."""
+    x, y = labelled(words=words)
+    if findings is not None:
+        x, y = np.concatenate((x, findings[0])), np.concatenate((y, findings[1]))
+    return Model(forest.fit(x, y, trees=40, depth=12), words)
 
 
-def scored(texts: list[str], paths: list[str], model: list) -> list[list[tuple[int, int, float]]]:
+def scored(texts: list[str], paths: list[str], model: Model) -> list[list[tuple[int, int, float]]]:
     """(start, end, score) of the candidates of each text."""
     found = [spans(t) for t in texts]
-    x = [features(t, a, b, p) for t, p, s in zip(texts, paths, found) for a, b in s]
-    scores = iter(forest.predict(model, np.array(x)).tolist() if x else ())
+    x = [features(t, a, b, p, model.words) for t, p, s in zip(texts, paths, found) for a, b in s]
+    scores = iter(forest.predict(model.trees, np.array(x)).tolist() if x else ())
     return [[(a, b, next(scores)) for a, b in s] for s in found]
 
 
-def findings(docs: DataFrame, path_col: str = "source", model: list | None = None) -> DataFrame:
+def findings(docs: DataFrame, path_col: str = "source", model: Model | None = None) -> DataFrame:
     """One row per candidate: doc_id, start and end (code points), length, value_sha256, score, secret."""
     common.byte_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model or train())  # a forest of bounded depth
+    shared = docs.sparkSession.sparkContext.broadcast(model or train(dictionary(docs)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"))
 
     def run(batches):
@@ -184,10 +279,10 @@ _SCHEMA = pa.schema(
 )
 
 
-def redacted(docs: DataFrame, path_col: str = "source", model: list | None = None) -> DataFrame:
+def redacted(docs: DataFrame, path_col: str = "source", model: Model | None = None) -> DataFrame:
     """docs with every secret in text replaced by MARK (and n_chars, if there is one, counted anew)."""
     common.byte_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model or train())
+    shared = docs.sparkSession.sparkContext.broadcast(model or train(dictionary(docs)))
 
     @F.pandas_udf("string")
     def clean(text, path):

@@ -1,12 +1,11 @@
 """The corpus operators against brute force, on small tables with nulls, empty texts, ties, repeated rows and extra columns."""
 
-import hashlib
 import random
 import zlib
 
 import pytest
 
-from tessera.llm import forest, html, langid, media, mixing, quality, secrets, sharding, shingles
+from tessera.llm import html, langid, media, mixing, quality, sharding, shingles
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 
@@ -138,16 +137,3 @@ def test_minimum_cut_by_brute_force():
         cost = lambda m: sum(b if k else a for a, b, k in zip(s, t, m)) + sum(c for i, j, c in e if m[i] != m[j])
         best = min(cost([bool(k >> i & 1) for i in range(n)]) for k in range(1 << n))
         assert cost(html.minimum_cut(s, t, e)) == best
-
-
-def test_secrets(spark, docs):
-    model = secrets.train()
-    x, y = secrets.labelled(600, 77)
-    assert ((forest.predict(model, x) >= 0.5) == y).mean() > 0.97
-    key = hashlib.sha1(b"k").hexdigest()
-    text = f'say token = "{key}" and 4785380592391141 and commit {key[::-1]} end'
-    df = spark.createDataFrame([(1, text, None, 5, "z"), (2, None, "a", None, "z")], "doc_id long, text string, source string, n_chars long, extra string")
-    got = secrets.findings(df, model=model).collect()
-    assert [text[g.start : g.end] for g in got if g.secret] == [key] and len(got) == 3
-    clean = {r.doc_id: r for r in secrets.redacted(df, model=model).collect()}
-    assert key not in clean[1].text and "4785380592391141" in clean[1].text and clean[1].n_chars == len(clean[1].text) and clean[2].text is None
