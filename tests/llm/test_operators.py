@@ -5,7 +5,7 @@ import zlib
 
 import pytest
 
-from tessera.llm import html, langid, media, mixing, quality, sharding, shingles
+from tessera.llm import langid, media, mixing, quality, sharding, shingles
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 
@@ -117,23 +117,3 @@ def test_language_of_held_out_rows(spark, empty):
     assert sum(got[d].lang_pred == k for d, k in held) >= 0.95 * len(held) and all(0 <= x.score <= 1 for x in got.values())
     assert {got[d].lang_pred for d in (900, 901, 902)} == {"und"} and (model[1] == 0).mean() > 0.5
     assert langid.train(empty.select("doc_id", "text", "lang")) is None
-
-
-def test_main_text():
-    w = html.train()
-    page = '<body><nav><a href=x>Home</a></nav><article><h1>T &amp; u</h1><p>First  one.<p>Second one.<div class="ad">Buy it.</div><p>Third one.</article><footer>&copy; x</footer>'
-    assert html.main_text(page, w) == "T & u\nFirst one.\nSecond one.\nThird one."
-    assert html.main_text("", w) == "" == html.main_text("<script>x</script><!-- y", w)
-    x, y = html.generated(40, 9)
-    assert ((x @ w > 0) == y).mean() > 0.95
-
-
-def test_minimum_cut_by_brute_force():
-    r = random.Random(4)
-    for _ in range(40):
-        n = r.randint(1, 7)
-        s, t = [r.randint(0, 9) for _ in range(n)], [r.randint(0, 9) for _ in range(n)]
-        e = [(i, j, r.randint(0, 5)) for i in range(n) for j in range(i) if r.random() < 0.5]
-        cost = lambda m: sum(b if k else a for a, b, k in zip(s, t, m)) + sum(c for i, j, c in e if m[i] != m[j])
-        best = min(cost([bool(k >> i & 1) for i in range(n)]) for k in range(1 << n))
-        assert cost(html.minimum_cut(s, t, e)) == best
