@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -37,10 +38,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and all run in one process (tests), a
+    temporary one; on a cluster that would lose rows, so it is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = getattr(spark.sparkContext, "_tessera_shared", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="tessera-")
@@ -49,12 +53,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+#: Finished jobs' files and plans are let go after so many stored tables.
+RELEASE = 6
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tessera_path = path
+    context = df.sparkSession.sparkContext
+    context._tessera_writes = getattr(context, "_tessera_writes", 0) + 1
+    if context._tessera_writes % RELEASE == 0:
+        release(df.sparkSession)
     return out
 
 
