@@ -6,11 +6,12 @@ follow-the-regularised-leader (FTRL-proximal) with an elastic net, which sets mo
 is then fitted on rows kept apart. As the shares are linear, a prediction adds up one table row per n-gram of the whole text.
 
 Document frequencies are counted over every training row. The classifier is fitted on a bounded sample of training rows:
-about ``PER_LANG`` of each language, by the md5 of the id, for the ``MAX_LANGS`` most frequent languages.
+about ``PER_LANG`` of each language, by the md5 of the id. Every language of a training row can be predicted; the
+table of weights has ``FEATURES`` numbers for each.
 Held-out rows (crc32(doc_id) mod 4 = 2) are never read for training; lang, source and doc_id are no inputs of a prediction.
 
 Null texts and texts without a letter give ``und`` with score 0, and so does everything when there are no training rows.
-Repeated rows get equal results; an empty table gives an empty result; further columns are ignored.
+Ties go to the language that is first by code point. Whole texts are read, very long ones in steps of ``STEP`` n-grams. Repeated rows get equal results; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from tessera.llm import common
 
 ORDERS = 3
 FEATURES = 1 << 16
-PER_LANG, MAX_LANGS = 800, 64
+PER_LANG, STEP = 800, 40_000
 EPOCHS = 4
 #: FTRL: step size, smoothing, and the elastic net's two parts.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-5, 1e-6
@@ -132,19 +133,18 @@ def fit_temperature(scores: np.ndarray, labels: np.ndarray) -> float:
     return float(min(grid, key=loss))
 
 
-def train(labelled: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS):
+def train(labelled: DataFrame, per_lang: int = PER_LANG):
     """(languages, idf * weights / temperature [FEATURES, languages]) from rows (doc_id, text, lang); None without rows."""
     known = labelled.where("lang IS NOT NULL")
     df, n = frequencies(known.select("text"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    counts = known.groupBy("lang").count().collect()
     if not n or not counts:
         return None
     langs = sorted(r["lang"] for r in counts)
     share = {r["lang"]: min(1.0, per_lang / r["count"]) for r in counts}
     u = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
-    limit = F.create_map(*(F.lit(v) for k in langs for v in (k, int(share[k] * (1 << 32)))))
-    bound = 2 * per_lang * len(langs)
-    sample = known.where(F.col("lang").isin(langs)).where(u < limit[F.col("lang")]).orderBy(u, "doc_id").limit(bound)
+    limits = labelled.sparkSession.createDataFrame([(k, int(v * (1 << 32))) for k, v in share.items()], "lang string, most long")
+    sample = known.join(F.broadcast(limits), "lang").where(u < F.col("most"))  # one row a language
 
     def run(batches):
         for b in batches:
@@ -190,7 +190,7 @@ def predicted(docs: DataFrame, model) -> DataFrame:
                     names.append("und")
                     scores.append(0.0)
                     continue
-                s = np.bincount(cells, minlength=FEATURES) @ w / len(cells) if len(cells) > 40_000 else w[cells].sum(0, dtype=np.float64) / len(cells)
+                s = sum(w[cells[at : at + STEP]].sum(0, dtype=np.float64) for at in range(0, len(cells), STEP)) / len(cells)
                 p = np.exp(s - s.max())
                 k = int(p.argmax())
                 names.append(langs[k])
