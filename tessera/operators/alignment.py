@@ -70,10 +70,10 @@ def rodrigues(w: np.ndarray) -> np.ndarray:
 
 
 def normal_space_sample(n: np.ndarray, most: int) -> np.ndarray:
-    """Places taken in turn from 12 x 6 buckets of normals by longitude and latitude."""
+    """Places taken in turn from 12 x 6 buckets of normals by latitude, then longitude."""
     lon = np.minimum(11, ((np.arctan2(n[:, 1], n[:, 0]) + np.pi) / (2 * np.pi) * 12).astype(int))
-    lat = np.minimum(5, (np.arccos(np.clip(n[:, 2], -1, 1)) / np.pi * 6).astype(int))
-    key = lon * 6 + lat
+    lat = np.minimum(5, ((np.arcsin(np.clip(n[:, 2], -1, 1)) + np.pi / 2) / np.pi * 6).astype(int))
+    key = lat * 12 + lon
     order = np.argsort(key, kind="stable")
     rank = np.empty(len(n), int)
     rank[order] = np.arange(len(n)) - np.searchsorted(key[order], key[order])

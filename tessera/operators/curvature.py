@@ -194,7 +194,7 @@ def crease_rings(mesh: Mesh, least_degrees: float = 30.0) -> DataFrame:
     for k in ("lo", "hi"):
         e = e.join(at.select("mesh_id", F.col("vid").alias(k), *(F.col(c).alias(k + c) for c in "xyz")), ["mesh_id", k])
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         edge = {(a, b): (d, math.dist(x[:3], x[3:])) for a, b, d, *x in pdf[["lo", "hi", "angle", "lox", "loy", "loz", "hix", "hiy", "hiz"]].itertuples(index=False)}
         near: dict[int, list[int]] = {}
         for a, b in edge:

@@ -167,7 +167,7 @@ def boundary_loops(mesh: Mesh) -> DataFrame:
     """mesh_id, loop_id, vertices: only the boundary edges of a mesh meet in one task, to be walked in order."""
     open_edges = edges(mesh.triangles).where("n_tri = 1").select("mesh_id", "lo", "hi")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         loops = walk_loops(pdf["lo"].tolist(), pdf["hi"].tolist())
         return pd.DataFrame({"mesh_id": [key[0]] * len(loops), "loop_id": range(len(loops)), "vertices": loops})
 

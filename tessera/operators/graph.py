@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -12,10 +13,12 @@ from pyspark.sql import functions as F
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write df once to the folder in spark.checkpoint.dir (a temporary one where it is unset) and read it back."""
+    """Write df once to the folder in spark.checkpoint.dir (where it is unset and all run in one process, a temporary one) and read it back."""
     context = df.sparkSession.sparkContext
     root = context.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = getattr(context, "_tessera_scratch", None)
         if root is None:
             root = context._tessera_scratch = tempfile.mkdtemp(prefix="tessera-")
@@ -23,7 +26,15 @@ def stored(df: DataFrame) -> DataFrame:
         root = f"file://{root}"
     path = f"{root.rstrip('/')}/mesh-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what stored() wrote, once nothing that is still to run reads it."""
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._tessera_path)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -32,7 +43,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     Labels take the least of their neighbours' and are then followed twice; rounds are written out, until none changes.
     """
     both = stored(links.select("mesh_id", "a", "b").unionAll(links.select("mesh_id", F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = stored(nodes.select("mesh_id", "node", F.col("node").alias("label")))
+    held = labels = stored(nodes.select("mesh_id", "node", F.col("node").alias("label")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), ["mesh_id", "b"]).groupBy("mesh_id", F.col("a").alias("node")).agg(F.min("label").alias("m"))
         met = labels.join(near, ["mesh_id", "node"], "left").select("mesh_id", "node", "label", F.least("label", "m").alias("m"))
@@ -40,6 +51,8 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             up = labels.select("mesh_id", F.col("node").alias("m"), F.col("label").alias(f"u{k}"))
             met = met.join(up, ["mesh_id", "m"]).select("mesh_id", "node", "label", F.least("m", f"u{k}").alias("m"))
         new = stored(met.select("mesh_id", "node", F.col("m").alias("label"), (F.col("m") < F.col("label")).alias("moved")))
-        labels = new.drop("moved")
+        discard(held)
+        held, labels = new, new.drop("moved")
         if new.where("moved").isEmpty():
+            discard(both)
             return labels

@@ -38,30 +38,57 @@ class CutPlane:
         return n, u, np.cross(n, u)
 
 
-def sections_along(mesh: Mesh, axis: tuple[float, float, float], spacing: float, margin: float | None = None) -> list[CutPlane]:
-    """Planes across the axis through the box of all meshes, from the margin on, ``spacing`` apart; none if it isn't positive."""
-    if spacing <= 0:
-        return []
+def stack_planes(mesh: Mesh, axis: tuple[float, float, float], spacing: float, through: tuple[float, float, float] = (0.0, 0.0, 0.0), margin: float | None = None) -> DataFrame:
+    """mesh_id, plane_id, offset, ox..oz, nx..nz: planes across the axis, ``spacing`` apart, from ``margin`` (half the spacing) above the
+    mesh's lowest point to as much below its highest; offsets are measured from ``through``. No planes if the spacing isn't positive."""
+    n = CutPlane.perpendicular(axis, 0).normal
     margin = spacing / 2 if margin is None else margin
+    d = sum(((F.col(c).cast("double") - float(o)) * float(k) for c, o, k in zip("xyz", through, n)), F.lit(0.0))
+    ends = mesh.vertices.groupBy("mesh_id").agg(F.min(d).alias("lo"), F.max(d).alias("hi"))
+    if spacing <= 0:
+        ends = ends.where("false")
+    room = (F.col("hi") - F.col("lo") - 2 * margin) / float(spacing or 1)
+    ids = ends.where(room >= -1e-9).select("mesh_id", "lo", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(room + 1e-9).cast("long"))).alias("plane_id"))
+    at = F.col("lo") + margin + F.col("plane_id") * float(spacing)
+    place = [(F.lit(float(o)) + at * float(k)).alias("o" + c) for c, o, k in zip("xyz", through, n)]
+    return ids.select("mesh_id", F.col("plane_id").cast("int").alias("plane_id"), at.alias("offset"), *place, *(F.lit(float(k)).alias("n" + c) for c, k in zip("xyz", n)))
+
+
+def stacked_sections(
+    mesh: Mesh, axis: tuple[float, float, float], spacing: float, through: tuple[float, float, float] = (0.0, 0.0, 0.0), margin: float | None = None, min_loop_area: float = 0.0, weld: float = 0.0
+) -> DataFrame:
+    """The contours of every mesh with its own stack of planes, and each plane's offset. A triangle meets only the planes between its ends."""
+    planes = stack_planes(mesh, axis, spacing, through, margin)
+    first = planes.where("plane_id = 0").select("mesh_id", F.col("offset").alias("start"))
+    count = planes.groupBy("mesh_id").agg(F.max("plane_id").alias("last"))
     n = CutPlane.perpendicular(axis, 0).normal
-    t = sum((F.col(c).cast("double") * float(k) for c, k in zip("xyz", n)), F.lit(0.0))
-    lo, hi = mesh.vertices.agg(F.min(t), F.max(t)).first()
-    out, at = [], (lo or 0.0) + margin
-    while lo is not None and at <= hi - margin:
-        out.append(CutPlane.perpendicular(axis, at))
-        at += spacing
-    return out
+    c = corners(mesh).join(first, "mesh_id").join(count, "mesh_id")
+    d = [sum(((F.col(k + x).cast("double") - float(o)) * float(m) for x, o, m in zip("xyz", through, n)), F.lit(0.0)) for k in "abc"]
+    low, high = ((f(*d) - F.col("start")) / float(spacing or 1) for f in (F.least, F.greatest))
+    # one plane more on either side: the float distances below decide
+    c = c.withColumn("k0", F.greatest(F.lit(0), F.ceil(low) - 1).cast("long")).withColumn("k1", F.least(F.col("last").cast("long"), F.floor(high) + 1)).where("k0 <= k1")
+    at = F.col("start") + F.col("plane_id") * float(spacing)
+    place = [(F.lit(float(o)) + at * float(k)).alias("o" + x) for x, o, k in zip("xyz", through, n)]
+    cut = c.withColumn("plane_id", F.explode(F.sequence("k0", "k1"))).withColumn("plane_id", F.col("plane_id").cast("int")).drop("k0", "k1", "last")
+    cut = cut.select("*", *place, *(F.lit(float(k)).alias("n" + x) for x, k in zip("xyz", n)))
+    flat = CutPlane.perpendicular(axis, 0).basis()
+    out = _contours(mesh, _crossed(cut), lambda _: (None, *flat), min_loop_area, weld, through)
+    return out.join(planes.select("mesh_id", "plane_id", "offset"), ["mesh_id", "plane_id"])
 
 
 def segments(mesh: Mesh, planes: list[CutPlane]) -> DataFrame:
-    """mesh_id, plane_id, tid, px..pz, qx..qz: where each triangle crosses each plane. Points on the plane count as above."""
+    """mesh_id, plane_id, tid, px..pz, qx..qz: where each triangle crosses each plane of a short list. Points on the plane count as above."""
     usable = [(i, p) for i, p in enumerate(planes) if any(p.normal)]
     rows = []
     for i, p in usable:
         n, _, _ = p.basis()
         rows.append(F.struct(F.lit(i).alias("plane_id"), *(F.lit(float(v)).alias(k) for k, v in zip(("ox", "oy", "oz", "nx", "ny", "nz"), (*p.point, *n)))))
     c = corners(mesh)
-    cut = c.select("*", F.inline(F.array(*rows))) if rows else c.select("*", *(F.lit(None).cast("double").alias(k) for k in ("plane_id", "ox", "oy", "oz", "nx", "ny", "nz"))).where("false")
+    return _crossed(c.select("*", F.inline(F.array(*rows))) if rows else c.select("*", *(F.lit(None).cast("double").alias(k) for k in ("plane_id", "ox", "oy", "oz", "nx", "ny", "nz"))).where("false"))
+
+
+def _crossed(cut: DataFrame) -> DataFrame:
+    """The segments of triangles (corners) and planes (plane_id, ox..oz, nx..nz)."""
     n, o = V.vec("n"), V.vec("o")
     for k in "abc":
         cut = cut.withColumn("d" + k, V.dot(V.sub(V.vec(k), o), n).cast("float"))
@@ -132,11 +159,17 @@ CONTOURS = "mesh_id long, plane_id int, contour_id int, closed boolean, depth in
 
 def cross_sections(mesh: Mesh, planes: list[CutPlane], min_loop_area: float = 0.0, weld: float = 0.0) -> DataFrame:
     """Contours of every mesh and plane: closed loops with nesting (outer ones counter-clockwise, holes clockwise), and open paths."""
-    box = bounds(mesh.vertices).select("mesh_id", "diag")
     flat = [(p.point, *p.basis()) for p in planes]
+    return _contours(mesh, segments(mesh, planes), flat.__getitem__, min_loop_area, weld)
+
+
+def _contours(mesh: Mesh, found: DataFrame, of, min_loop_area: float, weld: float, origin=None) -> DataFrame:
+    """Contours of segments; ``of(plane_id)`` gives a plane's origin, normal and axes (origin None: the same for all)."""
+    box = bounds(mesh.vertices).select("mesh_id", "diag")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        o, _, u, v = flat[key[1]]
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        o, _, u, v = of(key[1])
+        o = origin if o is None else o
         pdf = pdf.sort_values("tid")
         seg = pdf[["px", "py", "pz", "qx", "qy", "qz"]].to_numpy().reshape(-1, 2, 3)
         loops, paths = chain(seg, weld if weld > 0 else max(1e-9, 1e-6 * float(pdf["diag"].iloc[0])))
@@ -158,7 +191,7 @@ def cross_sections(mesh: Mesh, planes: list[CutPlane], min_loop_area: float = 0.
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in CONTOURS.split(", ")])
         return frame.astype({"depth": "Int32", "parent": "Int32"})
 
-    return segments(mesh, planes).join(box, "mesh_id").groupBy("mesh_id", "plane_id").applyInPandas(run, CONTOURS)
+    return found.join(box, "mesh_id").groupBy("mesh_id", "plane_id").applyInPandas(run, CONTOURS)
 
 
 def world_point(plane: CutPlane, u: float, v: float) -> tuple[float, float, float]:

@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 from tessera.functions import vec as V
 from tessera.model import Mesh, bounds, corners, edges
 
-#: Points that one query may ask for; the table of points is broadcast, so its size is bounded.
-MOST_POINTS = 100_000
+#: Parts that a mesh's triangles are dealt to, so that one large mesh is not one task; its points go to each.
+PARTS = 32
 
 
 def winding_number(mesh: Mesh, points: DataFrame) -> DataFrame:
     """mesh_id, point_id, winding of points(mesh_id, point_id, px, py, pz): the sum of solid angles over 4 pi.
 
-    Each triangle meets the points of its own mesh (an equi-join on mesh_id); sums are reduced before the shuffle.
+    Each triangle meets the points of its own mesh: an equi-join on mesh_id and one of PARTS parts of the mesh; sums are reduced
+    before the shuffle.
     """
-    seen = corners(mesh).join(points, "mesh_id")
+    dealt = points.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    seen = corners(mesh).withColumn("part", F.pmod("tid", F.lit(PARTS)).cast("int")).join(dealt, ["mesh_id", "part"])
     return seen.groupBy("mesh_id", "point_id").agg((F.sum(V.solid_angle(V.vec("p"))) / (4 * math.pi)).alias("winding"))
 
 

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import quantize
 from tessera.functions import vec as V
 from tessera.model import Mesh, bounds, corners, edges, halfedges
-from tessera.operators import alignment, buffers, curvature, decimation, foundations, segmentation, slicing, winding
+from tessera.operators import buffers, decimation, foundations, segmentation, slicing, winding
+from tessera.plans import shapes
 from tessera.sources import heightfields
 from tessera.sources.heightfields import PARTS_SQL
 
@@ -48,26 +50,10 @@ def _segments(m: Mesh) -> DataFrame:
     return s.groupBy("mesh_id", "plane_id").agg(F.count(F.lit(1)).alias("n"), F.sum(gap).alias("length"))
 
 
-def _loops(m: Mesh) -> DataFrame:
-    return foundations.boundary_loops(m).select("mesh_id", "loop_id", F.size("vertices").cast("long").alias("n"), F.array_min("vertices").alias("least"))
-
-
 def _region(m: Mesh) -> DataFrame:
     return foundations.area_of(m, m.triangles.select("mesh_id", (F.col("tid") % 5).alias("region_id"), "tid"))
 
 
-def _align(m: Mesh) -> DataFrame:
-    turned = m.vertices.select("mesh_id", "vid", (F.col("x") + 0.2).cast("float").alias("x"), (F.col("y") * 0.9998 - F.col("z") * 0.02).cast("float").alias("y"), (F.col("y") * 0.02 + F.col("z") * 0.9998).cast("float").alias("z"))
-    pairs = m.vertices.select("mesh_id").distinct().selectExpr("mesh_id AS pair_id", "mesh_id AS source_mesh_id", "mesh_id AS reference_mesh_id")
-    out = alignment.aligned(Mesh(turned, m.triangles), m, pairs, alignment.AlignOptions(pre_align=False))
-    return out.select("pair_id", F.size("transform").alias("n"), (F.col("residual_rms") < 0.5).alias("close"))
-
-
-def _simplified(m: Mesh) -> DataFrame:
-    out = decimation.simplified(m, decimation.SimplifyOptions(target_reduction=0.5))
-    return out.select("mesh_id", "before", (F.col("after") <= F.col("before")).alias("fewer"), (F.col("error") >= 0).alias("has_error"))
-
-
 def _mean_edge(m: Mesh) -> DataFrame:
     h = halfedges(m.triangles)
     at = m.vertices
@@ -76,15 +62,20 @@ def _mean_edge(m: Mesh) -> DataFrame:
     return h.groupBy("mesh_id").agg(F.avg(V.norm(V.sub(V.vec("src"), V.vec("dst")))).alias("mean_edge"))
 
 
-def _segmented(options, auto=False) -> Callable[[Mesh], DataFrame]:
-    """Per mesh: do the regions and what is left out make up all triangles?"""
+def _quantized(m: Mesh) -> DataFrame:
+    """Heights in their mesh's extent at 14 and 8 bits, as half numbers, with 7 bits of mantissa, and back."""
+    at = m.vertices.join(bounds(m.vertices).select("mesh_id", "loz", "extent"), "mesh_id")
+    u = (F.col("z").cast("double") - F.col("loz")) / F.col("extent")
+    rows = at.select("mesh_id", "vid", quantize.unorm(u, 14).alias("u14"), quantize.snorm(u * 2 - 1, 8).alias("s8"), quantize.half(F.col("z") - 10).alias("h"), quantize.shortened(F.col("z"), 7).alias("short"))
+    return rows.select("*", quantize.from_unorm(F.col("u14"), 14).alias("u"), quantize.from_snorm(F.col("s8"), 8).alias("s"), quantize.from_half(F.col("h")).alias("back"))
 
-    def run(m: Mesh) -> DataFrame:
-        r = segmentation.segmented(m, options, auto).groupBy("mesh_id").agg(F.sum("n_tri").alias("n"), F.max("left_out").alias("left_out"))
-        t = m.triangles.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_tri"))
-        return t.join(r, "mesh_id", "left").select("mesh_id", "n_tri", (F.col("n_tri") == F.coalesce(F.col("n") + F.col("left_out"), F.col("n_tri"))).alias("complete"))
 
-    return run
+def _octahedral(m: Mesh) -> DataFrame:
+    """Face normals in octahedral coordinates of 8 bits, and the vectors that come back."""
+    n = foundations.face_normals(m)
+    u, v = quantize.octahedral(F.col("nx"), F.col("ny"), F.col("nz"), 8)
+    rows = n.select("mesh_id", "tid", u.alias("u"), v.alias("v"))
+    return rows.select("*", *(c.alias(k) for c, k in zip(quantize.from_octahedral(F.col("u"), F.col("v"), 8), "xyz")))
 
 
 def _integrity(m: Mesh) -> DataFrame:
@@ -100,27 +91,16 @@ ON_PARTS: dict[str, Callable[[Mesh], DataFrame]] = {
     "mesh_adjacency": _adjacency,
     "mesh_components": lambda m: foundations.connected_components(_holes(m))[0],
     "mesh_sub_mesh": lambda m: foundations.sub_mesh(m, m.triangles.where("tid % 3 = 0").select("mesh_id", (-F.col("tid")).alias("ordinal"), "tid")).triangles,
-    "mesh_boundary_loops": lambda m: _loops(_holes(m)),
     "mesh_integrity": _integrity,
-    "mesh_nonmanifold_vertices": lambda m: foundations.nonmanifold_vertices(_holes(m).triangles),
     "mesh_shape_stats": foundations.shape_stats,
     "mesh_region_area": _region,
+    "mesh_quantized": _quantized,
+    "mesh_octahedral": _octahedral,
     "mesh_bounds": lambda m: bounds(m.vertices),
     "mesh_mean_edge": _mean_edge,
     "mesh_winding": _winding,
-    "mesh_orientation": winding.orientation_report,
     "mesh_slice_segments": _segments,
-    "mesh_cross_sections": lambda m: slicing.cross_sections(m, PLANES).select("mesh_id", "plane_id", "contour_id", "closed", "perimeter"),
-    "mesh_curvature": lambda m: curvature.curvatures(m).select("mesh_id", "vid", "k1", "k2", "mean", "gaussian"),
-    "mesh_slippage": lambda m: curvature.slippages(m).select("mesh_id", "kind", "confidence"),
-    "mesh_crease_edges": lambda m: curvature.crease_edges(m, 2.0),
-    "mesh_crease_rings": lambda m: curvature.crease_rings(m, 2.0).select("mesh_id", "ring_id", "closed", "length", "mean_angle", "max_angle"),
     "mesh_smooth_regions": lambda m: segmentation.smooth_regions(m, 3.0),
-    "mesh_segmented": _segmented(segmentation.SegmentOptions()),
-    "mesh_segmented_ransac": _segmented(segmentation.RansacOptions(min_support=60, max_candidates=40)),
-    "mesh_segmented_auto": _segmented(segmentation.SegmentOptions(), auto=True),
-    "mesh_aligned": _align,
-    "mesh_simplified": _simplified,
     "mesh_simplify_scale": decimation.simplify_scale,
     "mesh_vertex_quadrics": decimation.vertex_quadrics,
     "mesh_sloppy": lambda m: buffers.sloppy(m, 12),
@@ -227,10 +207,6 @@ SQL = {
         "S AS (SELECT *, CASE WHEN (da >= 0) <> (db >= 0) THEN [ax + (da / (da - db))::DOUBLE * (bx - ax), ay + (da / (da - db))::DOUBLE * (\"by\" - ay), az + (da / (da - db))::DOUBLE * (bz - az)] END AS p, CASE WHEN (db >= 0) <> (dc >= 0) THEN [bx + (db / (db - dc))::DOUBLE * (cx - bx), \"by\" + (db / (db - dc))::DOUBLE * (cy - \"by\"), bz + (db / (db - dc))::DOUBLE * (cz - bz)] END AS q, CASE WHEN (dc >= 0) <> (da >= 0) THEN [cx + (dc / (dc - da))::DOUBLE * (ax - cx), cy + (dc / (dc - da))::DOUBLE * (ay - cy), cz + (dc / (dc - da))::DOUBLE * (az - cz)] END AS r FROM D WHERE NOT ((da >= 0) = (db >= 0) AND (db >= 0) = (dc >= 0))), "
         "G AS (SELECT mesh_id, pl, f[1] x1, f[2] y1, f[3] z1, g[1] x2, g[2] y2, g[3] z2 FROM (SELECT *, coalesce(p, q) AS f, CASE WHEN p IS NULL THEN r ELSE coalesce(q, r) END AS g FROM S))",
     ),
-    "mesh_crease_edges": _sql(
-        "SELECT mesh_id, lo, hi, round(angle, 4) AS angle FROM (SELECT a.mesh_id, a.lo, a.hi, degrees(acos(greatest(-1, least(1, (p.rx * q.rx + p.ry * q.ry + p.rz * q.rz) / (p.len * q.len))))) AS angle FROM F2 a JOIN L p ON p.mesh_id = a.mesh_id AND p.tid = t1 JOIN L q ON q.mesh_id = a.mesh_id AND q.tid = t2) WHERE angle >= 2",
-        "F2 AS (SELECT mesh_id, least(src, dst) lo, greatest(src, dst) hi, min(tid) t1, max(tid) t2 FROM H GROUP BY 1, 2, 3 HAVING count(*) = 2)",
-    ),
     "mesh_smooth_regions": _sql(
         "SELECT mesh_id, node AS tid, label FROM LAB",
         "J AS (SELECT p.mesh_id, p.tid AS a, q.tid AS b FROM H x JOIN H y ON x.mesh_id = y.mesh_id AND x.src = y.dst AND x.dst = y.src JOIN L p ON p.mesh_id = x.mesh_id AND p.tid = x.tid JOIN L q ON q.mesh_id = y.mesh_id AND q.tid = y.tid WHERE (p.rx * q.rx + p.ry * q.ry + p.rz * q.rz) / (p.len * q.len) >= cos(radians(3.0))), "
@@ -251,6 +227,32 @@ SQL = {
     "mesh_adjacency_indices": _sql(
         "SELECT T.mesh_id, T.tid, i0, coalesce(a.opp, i0) AS n0, i1, coalesce(b.opp, i1) AS n1, i2, coalesce(c.opp, i2) AS n2 FROM T LEFT JOIN H a ON a.mesh_id = T.mesh_id AND a.src = i1 AND a.dst = i0 LEFT JOIN H b ON b.mesh_id = T.mesh_id AND b.src = i2 AND b.dst = i1 LEFT JOIN H c ON c.mesh_id = T.mesh_id AND c.src = i0 AND c.dst = i2"
     ),
+    "mesh_quantized": _sql(
+        "SELECT mesh_id, vid, u14, s8, (CASE WHEN w < 0 THEN 32768 ELSE 0 END + hb)::INT AS h, round(CASE WHEN z = 0 THEN 0 ELSE floor(z / 2.0 ** (ez - 7) + 0.5) * 2.0 ** (ez - 7) END, 4) + 0.0 AS short, round(u14 / 16383.0, 4) + 0.0 AS u, round(s8 / 127.0, 4) + 0.0 AS s, "
+        "round(CASE WHEN hb < 1024 THEN 0 ELSE sign(w) * 2.0 ** (hb // 1024 - 15) * (1 + (hb % 1024) / 1024.0) END, 4) + 0.0 AS back FROM Q2",
+        "Q0 AS (SELECT V.mesh_id, vid, z::DOUBLE AS z, (z - 10)::FLOAT::DOUBLE AS w, (z::DOUBLE - loz) / extent AS u FROM V JOIN B USING (mesh_id)), "
+        "Q1 AS (SELECT *, floor(u * 16383 + 0.5)::INT AS u14, (sign(2 * u - 1) * floor(abs(2 * u - 1) * 127 + 0.5))::INT AS s8, CASE WHEN w <> 0 THEN floor(log2(abs(w))) END AS ew, CASE WHEN z > 0 THEN floor(log2(z)) END AS ez FROM Q0), "
+        "Q2 AS (SELECT *, (CASE WHEN abs(w) < 2.0 ** -14 THEN 0 ELSE (ew + 15) * 1024 + floor(abs(w) / 2.0 ** (ew - 10) + 0.5) - 1024 END)::INT AS hb FROM Q1)",
+    ),
+    "mesh_octahedral": _sql(
+        "SELECT mesh_id, tid, u, v, " + _R(*((f"{c} / sqrt(fx * fx + fy * fy + gz * gz)", k) for c, k in (("fx", "x"), ("fy", "y"), ("gz", "z")))) + " FROM O3",
+        "O1 AS (SELECT mesh_id, tid, rz, rx / (abs(rx) + abs(ry) + abs(rz)) AS px, ry / (abs(rx) + abs(ry) + abs(rz)) AS py FROM L), "
+        "O2 AS (SELECT *, CASE WHEN rz >= 0 THEN px ELSE (1 - abs(py)) * CASE WHEN px < 0 THEN -1 ELSE 1 END END AS qx, CASE WHEN rz >= 0 THEN py ELSE (1 - abs(px)) * CASE WHEN py < 0 THEN -1 ELSE 1 END END AS qy FROM O1), "
+        "O25 AS (SELECT *, (CASE WHEN qx < 0 THEN -1 ELSE 1 END * floor(abs(qx) * 127 + 0.5))::INT AS u, (CASE WHEN qy < 0 THEN -1 ELSE 1 END * floor(abs(qy) * 127 + 0.5))::INT AS v FROM O2), "
+        "O26 AS (SELECT *, u / 127.0 AS gx, v / 127.0 AS gy, 1 - abs(u / 127.0) - abs(v / 127.0) AS gz FROM O25), "
+        "O3 AS (SELECT *, gx + CASE WHEN gx < 0 THEN -1 ELSE 1 END * least(gz, 0) AS fx, gy + CASE WHEN gy < 0 THEN -1 ELSE 1 END * least(gz, 0) AS fy FROM O26)",
+    ),
+    "mesh_spatial_triangles": _sql(
+        "SELECT mesh_id, tid, row_number() OVER (PARTITION BY mesh_id ORDER BY m, tid) - 1 AS place FROM (SELECT mesh_id, tid, " + _MORTON.format("kx", "ky", "kz") + " AS m FROM K)",
+        "K AS (SELECT C.mesh_id, tid, " + ", ".join(_CELL.format(v=f'((a{c} + {chr(34)}b{c}{chr(34)} + c{c}) / 3)', c=c, m=65535) + f" AS k{c}" for c in "xyz") + " FROM C JOIN B USING (mesh_id))",
+    ),
+    "mesh_pruned": _sql(
+        "SELECT T.mesh_id, T.tid, i0, i1, i2 FROM T JOIN LAB ON LAB.mesh_id = T.mesh_id AND LAB.node = T.i0 JOIN KEEP ON KEEP.mesh_id = LAB.mesh_id AND KEEP.label = LAB.label",
+        _VERTEX_LINKS + ", PV AS (SELECT LAB.mesh_id, label, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z FROM LAB JOIN V ON V.mesh_id = LAB.mesh_id AND V.vid = LAB.node), "
+        "PM AS (SELECT mesh_id, label, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM PV GROUP BY ALL), "
+        "KEEP AS (SELECT PV.mesh_id, PV.label FROM PV JOIN PM ON PM.mesh_id = PV.mesh_id AND PM.label = PV.label JOIN B ON B.mesh_id = PV.mesh_id GROUP BY PV.mesh_id, PV.label, extent HAVING max((x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2) > (0.05 * extent) ** 2)",
+        True, True,
+    ),
     "mesh_fetch_order": _sql("SELECT mesh_id, vid, row_number() OVER (PARTITION BY mesh_id ORDER BY pos) - 1 AS wid FROM (SELECT mesh_id, src AS vid, min(3 * tid + k) AS pos FROM H GROUP BY ALL)"),
     "mesh_spatial_order": _sql(
         "SELECT mesh_id, vid, row_number() OVER (PARTITION BY mesh_id ORDER BY m, vid) - 1 AS place FROM (SELECT mesh_id, vid, " + _MORTON.format("kx", "ky", "kz") + " AS m FROM K)",
@@ -275,7 +277,5 @@ SQL["mesh_summary_orders"] = (
     .replace("vid + 40", "vid + 100")
     .replace("a.x < 39", "a.x < 99")
 )
-#: What SQL can check of the operators that walk or search: every triangle is accounted for, and pairs come close.
-SQL |= {name: _sql("SELECT mesh_id, count(*) AS n_tri, true AS complete FROM T GROUP BY 1") for name in ("mesh_segmented", "mesh_segmented_ransac", "mesh_segmented_auto")}
-SQL["mesh_aligned"] = _sql("SELECT DISTINCT mesh_id AS pair_id, 16 AS n, true AS close FROM V")
-SQL["mesh_simplified"] = _sql("SELECT mesh_id, count(*) AS before, true AS fewer, true AS has_error FROM T GROUP BY 1")
+QUERIES |= shapes.QUERIES
+SQL |= shapes.SQL

@@ -1,17 +1,23 @@
-"""Mesh operators on shapes whose answers are known in closed form."""
+"""Mesh operators on shapes whose answers are worked out by hand: octahedra, wedges, fans, rings of rings and a saddle."""
 
 import math
+import struct
 
 import numpy as np
 import pytest
 
+from tessera.functions import quantize
 from tessera.functions.vec import fibonacci_directions
 from tessera.model import TRIANGLES, VERTICES, Mesh
 from tessera.operators import alignment, curvature, decimation, fitting, foundations, segmentation, slicing, winding
+from tessera.sources import lathes
 
-QUADS = [(3, 2, 1, 0), (4, 5, 6, 7), (0, 1, 5, 4), (2, 3, 7, 6), (1, 2, 6, 5), (4, 7, 3, 0)]
-CUBE_P = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)]
-CUBE_T = [t for a, b, c, d in QUADS for t in ((a, b, c), (a, c, d))]
+#: Corners at distance 2 on the axes; every face joins one corner of each axis. Edges 2 * sqrt(2), faces 2 * sqrt(3).
+OCTA_P = [(2 * s if k == 0 else 0, 2 * s if k == 1 else 0, 2 * s if k == 2 else 0) for k in range(3) for s in (1, -1)]
+OCTA_T = [((a, 2 + b, 4 + c) if (a + b + c) % 2 == 0 else (a, 4 + c, 2 + b)) for a in (0, 1) for b in (0, 1) for c in (0, 1)]
+#: A wedge of height 5 over the right triangle with legs 3 and 4.
+WEDGE_P = [(x, y, z) for z in (0, 5) for x, y in ((0, 0), (3, 0), (0, 4))]
+WEDGE_T = [(0, 2, 1), (3, 4, 5), (0, 1, 4), (4, 3, 0), (1, 2, 5), (5, 4, 1), (2, 0, 3), (3, 5, 2)]
 
 
 def mesh(spark, *shapes):
@@ -21,96 +27,158 @@ def mesh(spark, *shapes):
     return Mesh(spark.createDataFrame(v, VERTICES), spark.createDataFrame(t, TRIANGLES))
 
 
-def soup(ps, ts):
-    return [ps[i] for t in ts for i in t], [(3 * k, 3 * k + 1, 3 * k + 2) for k in range(len(ts))]
+def ring_of_rings(big, small, around, across):
+    """A closed ring surface: the point at angles a and b is (big + small * cos b) * (cos a, sin a), small * sin b."""
+    p = [((big + small * math.cos(b)) * math.cos(a), (big + small * math.cos(b)) * math.sin(a), small * math.sin(b)) for a in np.arange(around) * math.tau / around for b in np.arange(across) * math.tau / across]
+    at = lambda i, j: i % around * across + j % across
+    return p, [x for i in range(around) for j in range(across) for x in ((at(i, j), at(i + 1, j), at(i, j + 1)), (at(i, j + 1), at(i + 1, j), at(i + 1, j + 1)))]
 
 
-def cylinder(r=6.0, h=20.0, seg=24, rings=8):
-    p = [(r * math.cos(2 * math.pi * j / seg), r * math.sin(2 * math.pi * j / seg), h * i / (rings - 1)) for i in range(rings) for j in range(seg)]
+def tube(radius, height, around, rings):
+    """The open side of a tube; diagonals alternate."""
+    p = np.array([(radius * math.sin(a), radius * -math.cos(a), z) for z in np.linspace(0, height, rings) for a in np.arange(around) * math.tau / around])
     t = []
     for i in range(rings - 1):
-        for j in range(seg):
-            a, b, c, d = i * seg + j, i * seg + (j + 1) % seg, (i + 1) * seg + j, (i + 1) * seg + (j + 1) % seg
-            t += [(a, b, c), (b, d, c)]
-    return np.array(p), np.array(t)
-
-
-def test_weld_of_a_soup_cube(spark):
-    m = foundations.welded(mesh(spark, soup(CUBE_P, CUBE_T)))
-    assert m.vertices.count() == 8 and m.triangles.count() == 12
-
-
-def test_integrity_of_cube_tetrahedron_book_and_bowtie(spark):
-    tetra = ([(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1), (5, 5, 5)], [(0, 2, 1), (0, 1, 3), (0, 3, 2), (1, 2, 3), (0, 0, 4)])
-    book = ([(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1)], [(0, 1, 2), (0, 1, 3), (0, 1, 4)])
-    bowtie = ([(0, 0, 0), (1, 0, 0), (1, 1, 0), (2, 1, 1), (2, 2, 1)], [(0, 1, 2), (2, 3, 4)])
-    r = {x.mesh_id: x for x in foundations.integrity_report(mesh(spark, (CUBE_P, CUBE_T), tetra, book, bowtie)).collect()}
-    assert (r[0].watertight, r[0].euler, r[0].genus, r[0].components) == (True, 2, 0, 1)
-    assert (r[1].degenerate, r[1].euler, r[1].genus) == (1, 2, 0)
-    assert r[2].nonmanifold_edges == 1 and not r[2].watertight
-    assert (r[3].nonmanifold_vertices, r[3].components) == (1, 1)
-
-
-def test_adjacency_lists_every_shared_edge(spark):
-    got = {x.tid: x.neighbours for x in foundations.triangle_adjacency(mesh(spark, (CUBE_P, CUBE_T))).collect()}
-    assert all(len(n) == 3 for n in got.values()) and got[0] == sorted(got[0])
+        for j in range(around):
+            lower, upper = (i * around + j, i * around + (j + 1) % around), ((i + 1) * around + j, (i + 1) * around + (j + 1) % around)
+            cut = ((*lower, upper[j % 2]), (lower[1 - j % 2], upper[1], upper[0]))
+            t += cut
+    return p, np.array(t)
+
+
+def test_weld_of_loose_triangles(spark):
+    loose = [OCTA_P[i] for t in OCTA_T for i in t], np.arange(24).reshape(8, 3)
+    m = foundations.welded(mesh(spark, loose))
+    assert (m.vertices.count(), m.triangles.count()) == (6, 8)
+    assert abs(sum(x.area for x in foundations.areas(m).collect()) - 16 * math.sqrt(3)) < 1e-5
+
+
+def test_integrity(spark):
+    fan = [(0, 0, 0), (0, 0, 3)] + [(math.cos(a), math.sin(a), 1.5) for a in (0, 2, 4)], [(0, 1, 2), (0, 1, 3), (0, 1, 4)]
+    far = [(x + 4, y, z) for x, y, z in OCTA_P]  # its corner at -2 is the other's at 2
+    touching = OCTA_P + [q for i, q in enumerate(far) if i != 1], OCTA_T + [tuple(0 if i == 1 else 6 + i - (i > 1) for i in t) for t in OCTA_T]
+    turned = OCTA_P, [OCTA_T[0][::-1], *OCTA_T[1:]]
+    spoiled = [*OCTA_P, (9, 9, 9)], [*OCTA_T, (0, 0, 6), OCTA_T[3][1:] + OCTA_T[3][:1]]
+    r = {x.mesh_id: x for x in foundations.integrity_report(mesh(spark, (OCTA_P, OCTA_T), ring_of_rings(7, 2, 9, 6), fan, touching, turned, spoiled)).collect()}
+    assert (r[0].watertight, r[0].vertices, r[0].edges, r[0].faces, r[0].euler, r[0].genus, r[0].components) == (True, 6, 12, 8, 2, 0, 1)
+    assert (r[1].watertight, r[1].euler, r[1].genus, r[1].boundary_edges) == (True, 0, 1, 0)
+    assert (r[2].nonmanifold_edges, r[2].boundary_edges, r[2].watertight) == (1, 6, False)
+    assert (r[3].nonmanifold_vertices, r[3].nonmanifold_edges, r[3].components) == (1, 0, 1)
+    assert not r[4].orientable and (r[5].degenerate, r[5].duplicate) == (1, 1)
+
+
+def test_neighbours_of_an_octahedron(spark):
+    got = {x.tid: x.neighbours for x in foundations.triangle_adjacency(mesh(spark, (OCTA_P, OCTA_T))).collect()}
+    # face number abc in binary: neighbours differ in one axis
+    assert got == {k: sorted(k ^ b for b in (1, 2, 4)) for k in range(8)}
+
+
+def test_winding_and_orientation(spark):
+    m = mesh(spark, (OCTA_P, OCTA_T), (OCTA_P, [t[::-1] for t in OCTA_T]))
+    pts = spark.createDataFrame([(k, i, *p) for k in (0, 1) for i, p in enumerate([(0.3, 0.2, -0.1), (1.5, 1.5, 0.0)])], "mesh_id long, point_id long, px double, py double, pz double")
+    got = {(x.mesh_id, x.point_id): round(x.winding, 5) for x in winding.winding_number(m, pts).collect()}
+    assert got == {(0, 0): 1.0, (0, 1): 0.0, (1, 0): -1.0, (1, 1): 0.0}
+    p, t = tube(2.0, 6.0, 12, 4)  # open: outside, the closed ones wind around nothing either way
+    assert {x.mesh_id: x.looks_inverted for x in winding.orientation_report(mesh(spark, (p, t), (p, t[:, ::-1]))).collect()} == {0: False, 1: True}
+    assert len(fibonacci_directions(1)) == 1
 
 
-def test_winding_is_one_inside_and_zero_outside(spark):
-    pts = spark.createDataFrame([(0, 0, 0.5, 0.5, 0.5), (0, 1, 3.0, 3.0, 3.0)], "mesh_id long, point_id long, px double, py double, pz double")
-    got = {x.point_id: x.winding for x in winding.winding_number(mesh(spark, (CUBE_P, CUBE_T)), pts).collect()}
-    assert abs(got[0] - 1) < 1e-3 and abs(got[1]) < 1e-5
-    assert len(fibonacci_directions(1)) == 1
+def test_sections_of_a_wedge(spark):
+    got = slicing.cross_sections(mesh(spark, (WEDGE_P, WEDGE_T)), [slicing.CutPlane((0, 0, 2), (0, 0, 1)), slicing.CutPlane((0, 1, 0), (0, 1, 0))]).collect()
+    a, b = sorted(got, key=lambda x: x.plane_id)
+    assert a.closed and not a.is_hole and abs(a.signed_area - 6) < 1e-5 and abs(a.perimeter - 12) < 1e-5
+    assert abs(b.signed_area - 2.25 * 5) < 1e-5  # the triangle is 3 * (1 - 1 / 4) wide there
 
 
-def test_slice_of_a_box(spark):
-    box = [(x * 10 - 5, y * 6 - 3, z * 20 - 10) for x, y, z in CUBE_P]
-    got = slicing.cross_sections(mesh(spark, (box, CUBE_T)), [slicing.CutPlane((0, 0, 0), (0, 0, 1))]).collect()
-    assert len(got) == 1 and got[0].closed and abs(got[0].signed_area - 60) < 1e-2 and not got[0].is_hole
-    assert slicing.sections_along(mesh(spark, (box, CUBE_T)), (0, 0, 1), 0) == []
+def test_stacks_follow_each_mesh(spark):
+    high = [(x, y, z + 100) for x, y, z in WEDGE_P]
+    m = mesh(spark, (WEDGE_P, WEDGE_T), (high, WEDGE_T))
+    got = sorted((x.mesh_id, x.plane_id, round(x.offset, 5), round(x.signed_area, 4)) for x in slicing.stacked_sections(m, (0, 0, 3), 2.0, (0, 0, 1)).collect())
+    assert got == [(k, i, 100 * k + 2 * i, 6.0) for k in (0, 1) for i in (0, 1, 2) if 2 * i <= 3]
+    assert slicing.stacked_sections(m, (0, 0, 1), 0.0).count() == slicing.stacked_sections(m, (0, 0, 1), 50.0).count() == 0
+    ring = mesh(spark, ring_of_rings(7, 2, 24, 16))
+    cut = sorted((x.is_hole, x.depth) for x in slicing.stacked_sections(ring, (0, 0, 1), 9.0, margin=2.0).collect())
+    assert cut == [(False, 0), (True, 1)]
 
 
-def test_crease_edges_of_a_cube(spark):
-    assert curvature.crease_edges(mesh(spark, (CUBE_P, CUBE_T))).count() == 12
-    assert curvature.crease_rings(mesh(spark, (CUBE_P, CUBE_T))).count() == 12
+def test_creases(spark):
+    m = mesh(spark, (OCTA_P, OCTA_T), (WEDGE_P, WEDGE_T))
+    got = curvature.crease_edges(m).collect()
+    assert sum(x.mesh_id == 0 for x in got) == 12 and all(abs(x.angle - math.degrees(math.acos(1 / 3))) < 1e-3 for x in got if x.mesh_id == 0)
+    assert sorted(round(x.angle, 2) for x in got if x.mesh_id == 1) == sorted([90.0] * 6 + [round(180 - math.degrees(a), 2) for a in (math.pi / 2, math.atan(4 / 3), math.atan(3 / 4))])
 
 
-def test_curvature_slippage_and_fit_of_a_cylinder():
-    p, t = cylinder()
-    k = curvature.vertex_curvatures(p, t)[72:-72]
-    assert np.allclose(np.abs(k[:, 0]), 1 / 6, rtol=0.05) and np.allclose(k[:, 1], 0, atol=1e-6)
+def test_curvature_slippage_and_fit_of_a_tube():
+    p, t = tube(4.0, 15.0, 30, 9)
+    k = curvature.vertex_curvatures(p, t)[60:-60]
+    assert np.allclose(np.abs(k[:, 0]), 0.25, rtol=0.05) and np.allclose(k[:, 1], 0, atol=1e-6)
     assert curvature.slippage(p, t)["kind"] == "cylinder"
     regions, fits, left, _ = segmentation.segment(p, t, segmentation.SegmentOptions())
-    assert len(regions) == 1 and fits[0].kind == "cylinder" and abs(fits[0].params[6] - 6) < 1e-6 and left == 0
-
-
-def test_ransac_accounts_for_every_triangle():
-    p, t = cylinder()
+    assert len(regions) == 1 and fits[0].kind == "cylinder" and abs(fits[0].params[6] - 4) < 1e-6 and left == 0
     regions, fits, left = segmentation.ransac(p, t, segmentation.RansacOptions())
     assert sum(map(len, regions)) + left == len(t) and fits[0].kind == "cylinder"
-    assert segmentation.segment(np.array(CUBE_P, float), np.array(CUBE_T), segmentation.SegmentOptions())[1][0].kind == "plane"
+
+
+def test_faces_of_an_octahedron_are_planes():
+    regions, fits, left, _ = segmentation.segment(np.array(OCTA_P, float), np.array(OCTA_T), segmentation.SegmentOptions())
+    assert sorted(map(len, regions)) == [1] * 8 and left == 0 and {f.kind for f in fits} == {"plane"}
 
 
 def test_alignment_recovers_a_motion():
-    g = np.array([(i, j, 3 * math.sin(0.3 * i) * math.cos(0.21 * j)) for j in range(21) for i in range(21)], float)
-    t = np.array([x for j in range(20) for i in range(20) for x in ((j * 21 + i, j * 21 + i + 1, j * 21 + i + 22), (j * 21 + i, j * 21 + i + 22, j * 21 + i + 21))])
-    q = alignment.rodrigues(np.array([0.1, 0.2, 0.15]))
-    got = alignment.align(g @ q.T + [1, -0.5, 0.3], t, g, t)
+    u, v = (x.reshape(-1).astype(float) for x in np.meshgrid(np.arange(18), np.arange(13)))
+    g = np.stack((u, v + 0.5 * (u % 2), 0.06 * (u - 7) * (v - 4) + 0.4 * np.abs(np.sin(u / 2))), 1)
+    a = (np.arange(12)[:, None] * 18 + np.arange(17)).reshape(-1)
+    t = np.concatenate((np.stack((a, a + 1, a + 18), 1), np.stack((a + 1, a + 19, a + 18), 1)))
+    q = alignment.rodrigues(np.array([-0.07, 0.16, 0.12]))
+    got = alignment.align(g @ q.T + [-0.8, 0.4, 0.6], t, g, t)
     m = np.array(got["transform"]).reshape(4, 4).T
     assert got["residual_rms"] < 0.05 and np.allclose(m[:3, :3] @ q, np.eye(3), atol=1e-3)
 
 
+def test_samples_go_round_the_directions():
+    n = np.array([(0, 0, 1.0)] * 50 + [(0, 0, -1.0), (1.0, 0, 0), (0, 1.0, 0)])
+    assert sorted(alignment.normal_space_sample(n, 4).tolist()) == [0, 50, 51, 52]
+    assert alignment.normal_space_sample(n, 4).tolist()[0] == 50  # lowest latitude first
+
+
 def test_decimation_bounds_and_options():
-    p, t = cylinder()
+    p, t = tube(4.0, 15.0, 30, 9)
     out, error = decimation.simplify(p, t, decimation.SimplifyOptions(target_reduction=0.5, preserve_boundary=False))
-    assert 0 < len(out) <= len(t) and error >= 0
-    with pytest.raises(ValueError):
-        decimation.SimplifyOptions()
-    with pytest.raises(ValueError):
-        decimation.SimplifyOptions(target_triangles=0)
+    assert 0 < len(out) <= len(t) // 2 and 0 <= error < 0.5
+    for bad in ({}, {"target_triangles": 0}):
+        with pytest.raises(ValueError):
+            decimation.SimplifyOptions(**bad)
+
+
+def test_shapes_of_the_queries_are_closed_around(spark):
+    of = spark.createDataFrame([(5, 3, 2.0, 6.0)], "mesh_id long, kind int, r double, h double")
+    m = lathes.lathes(of)
+    r = foundations.integrity_report(m).first()
+    assert (r.vertices, r.faces, r.boundary_edges, r.boundary_loops, r.orientable) == (168, 288, 48, 2, True)
+    assert abs(sum(x.area for x in foundations.areas(m).collect()) - 72) < 1e-3
+
+
+def test_quantisation(spark):
+    values = [0.0, 1.0, -2.5, 65504.0, 65520.0, 70000.0, 6.2e-5, 6.0e-5, 1 / 3, 2.0**-14, float("inf"), 1.0009765, 1.0004882, 2047.5]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v float")
+    got = rows.select("i", "v", quantize.half(rows.v).alias("h"), quantize.shortened(rows.v, 4).alias("s"), quantize.unorm(rows.v, 8).alias("u"), quantize.snorm(rows.v, 8).alias("n"))
+    got = sorted(got.select("*", quantize.from_half(got.h).alias("back")).collect())
+    for x in got:
+        exact = struct.unpack("<H", struct.pack("<e", x.v))[0] if abs(x.v) < 65520 else 0x7C00
+        assert x.h == (exact if abs(x.v) >= 2.0**-14 else 0), x
+        assert x.back == (struct.unpack("<e", struct.pack("<H", x.h))[0])
+        assert x.u == int(min(1, max(0, x.v)) * 255 + 0.5) and x.n == math.copysign(int(abs(min(1, max(-1, x.v))) * 127 + 0.5), x.v)
+    assert [x.s for x in got][2] == -2.5 and abs(got[8].s - 0.328125) < 1e-9  # 1 / 3 with four bits behind the first
+    d = fibonacci_directions(64)
+    df = spark.createDataFrame([tuple(map(float, x)) for x in d], "x double, y double, z double")
+    u, v = quantize.octahedral(df.x, df.y, df.z, 12)
+    df = df.select("*", u.alias("u"), v.alias("v"))
+    x, y, z = quantize.from_octahedral(df.u, df.v, 12)
+    assert df.select(((x - df.x) ** 2 + (y - df.y) ** 2 + (z - df.z) ** 2).alias("e")).where("e > 1e-5").count() == 0
 
 
 def test_empty_mesh(spark):
     m = Mesh(spark.createDataFrame([], VERTICES), spark.createDataFrame([], TRIANGLES))
     assert foundations.face_normals(m).count() == foundations.welded(m).triangles.count() == 0
+    assert slicing.stacked_sections(m, (1, 0, 0), 1.0).count() == 0
     assert fitting.fit_plane(np.zeros((2, 3))) is None
