@@ -43,6 +43,21 @@ def adjacency_indices(mesh: Mesh) -> DataFrame:
     return mesh.triangles.join(n, ["mesh_id", "tid"]).select("mesh_id", "tid", "i0", "n0", "i1", "n1", "i2", "n2")
 
 
+def tessellation_indices(mesh: Mesh) -> DataFrame:
+    """mesh_id, tid, i0..i2, the opposite edge of each side (o0a, o0b, ..: its own side turned, or itself on a border) and the first vertex at
+    each corner's place (d0..d2). Sides meet by place, so seams are crossed."""
+    at = position_remap(mesh)
+    h = halfedges(mesh.triangles).select("mesh_id", "tid", "k", "src", "dst")
+    for end in ("src", "dst"):
+        h = h.join(at.select("mesh_id", F.col("vid").alias(end), F.col("first").alias(end + "_at")), ["mesh_id", end])
+    first = h.groupBy("mesh_id", F.col("src_at").alias("dst_at"), F.col("dst_at").alias("src_at")).agg(F.min(F.struct("tid", "k", "src", "dst")).alias("o"))
+    side = h.join(first, ["mesh_id", "src_at", "dst_at"], "left").select(
+        "mesh_id", "tid", "k", F.col("src").alias("i"), F.coalesce("o.dst", "src").alias("a"), F.coalesce("o.src", "dst").alias("b"), F.col("src_at").alias("d")
+    )
+    each = [F.max(F.when(F.col("k") == k, F.col(c))).alias(n) for k in range(3) for c, n in (("i", f"i{k}"), ("a", f"o{k}a"), ("b", f"o{k}b"), ("d", f"d{k}"))]
+    return side.groupBy("mesh_id", "tid").agg(*each)
+
+
 def optimized_fetch(mesh: Mesh) -> Mesh:
     """The mesh with vertices in order of first use."""
     return compacted(mesh)

