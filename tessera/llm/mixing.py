@@ -81,8 +81,8 @@ def mixed(
     )
     slim = slim.withColumn("skey", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("v"), "source")))
     bits = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double")
-    slim = common.stored(slim.withColumn("u", (bits + 0.5) / UNIT), "mix")
-    slim = slim.withColumn("k", F.expr(CLASS))
+    base = common.stored(slim.withColumn("u", (bits + 0.5) / UNIT), "mix")
+    slim = base.withColumn("k", F.expr(CLASS))
     words = slim.groupBy("skey", "k").agg(F.first("source").alias("source"), F.sum("size").alias("words"))
     sizes = words.groupBy("skey").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
     aims = common.stored(inclusions(words.drop("source").join(targets(sizes, weights, share, repeat), "skey"), repeat), "mix-targets")
@@ -114,7 +114,10 @@ def mixed(
     done = picked.withColumn("salt", salt).join(extra, ["skey", "salt"], "left")
     also = F.coalesce((F.col("rank") == F.col("xrank")) & F.col("doc_id").eqNullSafe(F.col("xid")) & (F.col("crc") == F.col("xcrc")), F.lit(False))
     copies = (F.col("whole") + (F.col("chosen") | also).cast("long")).cast("long")
-    return done.select("doc_id", "crc", "size", F.col("source_size").cast("long").alias("source_size"), "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    out = done.select("doc_id", "crc", "size", F.col("source_size").cast("long").alias("source_size"), "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    out = common.stored(out, "mixed")
+    common.discard(base, aims, ends, picked)
+    return out
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
