@@ -103,6 +103,8 @@ ON_PARTS: dict[str, Callable[[Mesh], DataFrame]] = {
     "mesh_smooth_regions": lambda m: segmentation.smooth_regions(m, 3.0),
     "mesh_simplify_scale": decimation.simplify_scale,
     "mesh_vertex_quadrics": decimation.vertex_quadrics,
+    "mesh_vertex_kinds": lambda m: decimation.vertex_kinds(_holes(m)),
+    "mesh_border_quadrics": lambda m: decimation.border_quadrics(_holes(m)),
     "mesh_sloppy": lambda m: buffers.sloppy(m, 12),
     "mesh_pruned": lambda m: buffers.pruned(_holes(m), 0.05),
     "mesh_clustered_points": lambda m: buffers.clustered_points(m, 12),
@@ -152,6 +154,10 @@ P AS (SELECT DISTINCT mesh_id, a, b FROM ({links})),
 R AS (SELECT mesh_id, node, node AS label FROM ({nodes}) UNION SELECT R.mesh_id, P.b, R.label FROM R JOIN P ON P.mesh_id = R.mesh_id AND P.a = R.node WHERE P.b > R.label),
 LAB AS (SELECT mesh_id, node, min(label) AS label FROM R GROUP BY ALL)"""
 _VERTEX_LINKS = _REACH.format(links="SELECT mesh_id, src AS a, dst AS b FROM H UNION ALL SELECT mesh_id, dst, src FROM H", nodes="SELECT DISTINCT mesh_id, src AS node FROM H")
+_KINDS = """
+OPEN AS (SELECT mesh_id, CASE WHEN n_fwd > 0 THEN lo ELSE hi END AS src, CASE WHEN n_fwd > 0 THEN hi ELSE lo END AS dst FROM E WHERE n_fwd IN (0, n_tri)),
+KI AS (SELECT mesh_id, vid, CASE WHEN max(n_out) = 0 AND max(n_in) = 0 THEN 'manifold' WHEN max(n_out) <= 1 AND max(n_in) <= 1 THEN 'border' ELSE 'locked' END AS kind FROM (
+  SELECT mesh_id, src AS vid, 0 AS n_out, 0 AS n_in FROM H UNION ALL SELECT mesh_id, src, count(*), 0 FROM OPEN GROUP BY 1, 2 UNION ALL SELECT mesh_id, dst, 0, count(*) FROM OPEN GROUP BY 1, 2) GROUP BY 1, 2)"""
 _MORTON = " + ".join(f"((({{{k}}} >> {b}) & 1) << {3 * b + k})" for b in range(16) for k in range(3))
 _CELL = "floor(({v} - lo{c}) / CASE WHEN extent > 0 THEN extent ELSE 1 END * {m} + 0.5)::BIGINT"
 
@@ -223,6 +229,18 @@ SQL = {
         "SELECT mesh_id, vid, " + ", ".join(f"round(sum(w * {e}), 4) + 0.0 AS {n}" for n, e in (("qxx", "x * x"), ("qyy", "y * y"), ("qzz", "z * z"), ("qxy", "x * y"), ("qxz", "x * z"), ("qyz", "y * z"), ("qx", "x * d"), ("qy", "y * d"), ("qz", "z * d"), ("qc", "d * d"), ("qw", "1"))) + " FROM K GROUP BY 1, 2",
         "K0 AS (SELECT mesh_id, unnest([i0, i1, i2]) AS vid, rx / len AS x, ry / len AS y, rz / len AS z, sqrt(len) AS w, ax, ay, az FROM L WHERE len > 0), K AS (SELECT *, -(x * ax + y * ay + z * az) AS d FROM K0)",
     ),
+    "mesh_vertex_kinds": _sql("SELECT * FROM KI", _KINDS, True),
+    "mesh_border_quadrics": _sql(
+        "SELECT mesh_id, vid, " + ", ".join(f"round(sum(10 * w * {e}), 4) + 0.0 AS {n}" for n, e in (("qxx", "x * x"), ("qyy", "y * y"), ("qzz", "z * z"), ("qxy", "x * y"), ("qxz", "x * z"), ("qyz", "y * z"), ("qx", "x * d"), ("qy", "y * d"), ("qz", "z * d"), ("qc", "d * d"), ("qw", "n"))) + " FROM (SELECT *, unnest([src, dst]) AS vid, -(x * px + y * py + z * pz) AS d FROM BW) GROUP BY 1, 2",
+        _KINDS + ", PV AS (SELECT mesh_id, vid, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z FROM V), "
+        "BO AS (SELECT o.mesh_id, o.src, o.dst, h.tid, p.x AS px, p.y AS py, p.z AS pz, q.x - p.x AS ux, q.y - p.y AS uy, q.z - p.z AS uz, r.x - p.x AS vx, r.y - p.y AS vy, r.z - p.z AS vz FROM OPEN o JOIN H h ON h.mesh_id = o.mesh_id AND h.src = o.src AND h.dst = o.dst "
+        "JOIN PV p ON p.mesh_id = o.mesh_id AND p.vid = o.src JOIN PV q ON q.mesh_id = o.mesh_id AND q.vid = o.dst JOIN PV r ON r.mesh_id = o.mesh_id AND r.vid = h.opp JOIN KI a ON a.mesh_id = o.mesh_id AND a.vid = o.src JOIN KI b ON b.mesh_id = o.mesh_id AND b.vid = o.dst WHERE 'border' IN (a.kind, b.kind)), "
+        "BU AS (SELECT *, ux * ux + uy * uy + uz * uz AS uu, ux * vx + uy * vy + uz * vz AS uv FROM BO), "
+        "BN AS (SELECT mesh_id, src, dst, px, py, pz, sqrt(uu) AS w, 1 AS n, vx - ux * uv / uu AS x, vy - uy * uv / uu AS y, vz - uz * uv / uu AS z FROM BU "
+        "UNION ALL SELECT mesh_id, src, dst, px, py, pz, sqrt(sqrt((uy * vz - uz * vy) ** 2 + (uz * vx - ux * vz) ** 2 + (ux * vy - uy * vx) ** 2)), 0, uy * vz - uz * vy, uz * vx - ux * vz, ux * vy - uy * vx FROM BU), "
+        "BW AS (SELECT mesh_id, src, dst, px, py, pz, w, n, x / sqrt(x * x + y * y + z * z) AS x, y / sqrt(x * x + y * y + z * z) AS y, z / sqrt(x * x + y * y + z * z) AS z FROM BN)",
+        True,
+    ),
     "mesh_vertex_remap": _sql("SELECT mesh_id, vid, dense_rank() OVER (PARTITION BY mesh_id ORDER BY g) - 1 AS wid FROM (SELECT mesh_id, vid, min(vid) OVER (PARTITION BY mesh_id, x, y, z) AS g FROM SV)"),
     "mesh_position_remap": _sql('SELECT mesh_id, vid, min(vid) OVER (PARTITION BY mesh_id, x, y, z) AS "first" FROM SV'),
     "mesh_shadow_indices": _sql(

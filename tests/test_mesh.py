@@ -150,6 +150,58 @@ def test_decimation_bounds_and_options():
             decimation.SimplifyOptions(**bad)
 
 
+def ring(around, across, r=3.0):
+    """A torus: closed, with as many vertices as quadrangles."""
+    i, j = (k.reshape(-1) for k in np.meshgrid(np.arange(around), np.arange(across), indexing="ij"))
+    u, v = 2 * np.pi * i / around, 2 * np.pi * j / across
+    p = np.stack(((r + np.cos(v)) * np.cos(u), (r + np.cos(v)) * np.sin(u), np.sin(v)), 1)
+    at = lambda a, b: (a % around) * across + b % across
+    a, b, c, d = at(i, j), at(i + 1, j), at(i + 1, j + 1), at(i, j + 1)
+    return p, np.concatenate((np.stack((a, b, c), 1), np.stack((a, c, d), 1)))
+
+
+def edge_counts(t):
+    e = np.sort(t[:, [0, 1, 1, 2, 2, 0]].reshape(-1, 2), 1)
+    return np.unique(e, axis=0, return_counts=True)
+
+
+def test_decimation_keeps_closed_meshes_closed():
+    p, t = ring(60, 24)
+    volume = lambda t: np.einsum("ij,ij->i", p[t[:, 0]], np.cross(p[t[:, 1]], p[t[:, 2]])).sum() / 6
+    for goal in (2000, 700, 150):
+        out, error = decimation.simplify(p, t, decimation.SimplifyOptions(target_triangles=goal))
+        e, n = edge_counts(out)
+        assert len(out) == goal and (n == 2).all() and len(np.unique(out)) - len(e) + len(out) == 0  # a torus still
+        assert abs(volume(out) / volume(t) - 1) < 60 / goal and error < 0.4
+    capped, error = decimation.simplify(p, t, decimation.SimplifyOptions(target_triangles=10, error_cap=0.02))
+    assert error <= 0.02 and 10 < len(capped) < 2000
+    split = np.repeat(p, 2, 0)  # every place twice: halves of the triangles on the other vertex
+    twice, _ = decimation.simplify(split, np.where(np.arange(len(t))[:, None] % 2, 2 * t + 1, 2 * t), decimation.SimplifyOptions(target_triangles=700))
+    assert len(twice) == 700 and (edge_counts(twice)[1] == 2).all()
+
+
+def test_decimation_of_borders(spark):
+    p, t = tube(4.0, 15.0, 30, 9)
+    m = mesh(spark, (p, t))
+    kinds = {x.vid: x.kind for x in decimation.vertex_kinds(m).collect()}
+    e, n = edge_counts(t)
+    rim = set(np.unique(e[n == 1]).tolist())
+    assert rim and all(kinds[v] == ("border" if v in rim else "manifold") for v in kinds)
+    assert rim == {x.vid for x in decimation.border_quadrics(m).collect()}
+    held, _ = decimation.simplify(p, t, decimation.SimplifyOptions(target_triangles=80))
+    assert rim <= set(held.reshape(-1).tolist())
+    free, _ = decimation.simplify(p, t, decimation.SimplifyOptions(target_triangles=30, preserve_boundary=False))
+    e, n = edge_counts(free)
+    assert len(free) <= 30 and set(np.unique(e[n == 1]).tolist()) < rim  # they moved along the rims only
+    q = decimation._quadrics(p, t, decimation._kinds(t, len(p)))
+    faces = {x.vid: x for x in decimation.vertex_quadrics(m).collect()}
+    border = {x.vid: x for x in decimation.border_quadrics(m).collect()}
+    names = ("qxx", "qyy", "qzz", "qxy", "qxz", "qyz", "qx", "qy", "qz", "qc", "qw")
+    for v in faces:
+        both = [faces[v][k] + (border[v][k] if v in border else 0) for k in names]
+        assert np.allclose(both, q[v], rtol=1e-4, atol=1e-3)
+
+
 def test_shapes_of_the_queries_are_closed_around(spark):
     of = spark.createDataFrame([(5, 3, 2.0, 6.0)], "mesh_id long, kind int, r double, h double")
     m = lathes.lathes(of)
