@@ -85,3 +85,63 @@ def from_octahedral(u: Column, v: Column, bits: int) -> tuple[Column, Column, Co
     x, y = x + _sign(x) * fold, y + _sign(y) * fold
     size = F.sqrt(x * x + y * y + z * z)
     return x / size, y / size, z / size
+
+
+#: Least exponent of a shared power of two; a fixed value of the format.
+LEAST_POWER = -100
+
+
+def quaternion(q: tuple[Column, Column, Column, Column], bits: int) -> tuple[Column, ...]:
+    """A unit quaternion as three signed whole numbers of so many bits and the place of the fourth: the greatest component (the first on
+    ties) is left out and made positive, the others follow it in a circle; the last number is full scale but for its two low bits, which hold the place."""
+    size = [F.abs(c) for c in q]
+    place = F.lit(0)
+    for k in (1, 2, 3):  # the greatest before k is the greatest of all those
+        place = F.when(size[k] > F.greatest(*size[:k], F.lit(0.0)), k).otherwise(place)
+    parts = F.array(*q)
+    sign = _sign(parts[place])
+    others = [snorm(parts[(place + k) % 4] * 2.0**0.5 * sign, bits) for k in (1, 2, 3)]
+    return (*others, (F.lit(((1 << bits - 1) - 1) & ~3) + place).cast("int"))
+
+
+def from_quaternion(d: tuple[Column, Column, Column, Column]) -> tuple[Column, ...]:
+    """The four components as signed whole numbers of 16 bits."""
+    full, place = (d[3].bitwiseOR(F.lit(3))).cast("double"), d[3].bitwiseAND(F.lit(3))
+    left = 2 * full * full - sum(c.cast("double") * c for c in d[:3])
+    every = [F.sqrt(F.greatest(left, F.lit(0.0))), *(c.cast("double") for c in d[:3])]
+    scaled = F.array(*(_sign(c) * F.floor(F.abs(c) * (32767 / 2.0**0.5) / full + 0.5) for c in every))
+    return tuple(scaled[F.pmod(F.lit(k) - place, F.lit(4))].cast("int") for k in range(4))
+
+
+def power(v: Column, least: int = LEAST_POWER) -> Column:
+    """The least power of two above |v| as an exponent, 0 for zero, and not below ``least``. The greatest over the components of a vector, or
+    over the rows of a column, is a power that they can share."""
+    x = F.abs(v.cast("double"))
+    return F.greatest(F.when(x == 0, 0).otherwise(_exponent(x) + 1), F.lit(least)).cast("int")
+
+
+def exponential(v: Column, power_of: Column, bits: int) -> Column:
+    """v as a whole number of so many bits times a power of two: the number in 24 bits, the exponent in the 8 above (an int)."""
+    e = power_of - (bits - 1)
+    m = _sign(v) * F.floor(F.abs(v.cast("double")) * F.pow(F.lit(2.0), -e) + 0.5)
+    return F.shiftleft(e.cast("int"), 24).bitwiseOR(m.cast("int").bitwiseAND(F.lit(0xFFFFFF)))
+
+
+def from_exponential(code: Column) -> Column:
+    return F.shiftright(F.shiftleft(code, 8), 8) * F.pow(F.lit(2.0), F.shiftright(code, 24))
+
+
+def color(r: Column, g: Column, b: Column, a: Column, bits: int) -> tuple[Column, ...]:
+    """Red, green, blue and alpha (0 to 1) as luma, two signed differences and alpha with a bit less, whose highest bit tells how many bits there are."""
+    red, green, blue = (unorm(c, bits) for c in (r, g, b))
+    orange = ((red - blue) / 2).cast("int")
+    base = blue + orange
+    lime = ((green - base) / 2).cast("int")
+    return base + lime, orange, lime, F.shiftright(unorm(a, bits), 1) + (1 << bits - 1)
+
+
+def from_color(y: Column, orange: Column, lime: Column, a: Column, width: int = 8) -> tuple[Column, ...]:
+    """Red, green, blue and alpha as whole numbers of ``width`` bits."""
+    full = (F.pow(F.lit(2.0), _exponent(a.cast("double")) + 1) - 1).cast("int")
+    alpha = F.shiftleft(a, 1).bitwiseAND(full).bitwiseOR(a.bitwiseAND(F.lit(1)))
+    return tuple(F.floor(c * (F.lit(float((1 << width) - 1)) / full) + 0.5).cast("int") for c in (y + orange - lime, y + lime, y - orange - lime, alpha))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import quantize
 from tessera.functions import vec as V
 from tessera.model import Mesh, bounds, corners, edges, halfedges
-from tessera.operators import analysis, buffers, decimation, foundations, segmentation, slicing, winding
+from tessera.operators import analysis, buffers, decimation, foundations, rendering, segmentation, slicing, winding
 from tessera.plans import shapes
 from tessera.sources import heightfields
 from tessera.sources.heightfields import PARTS_SQL
@@ -78,6 +78,41 @@ def _octahedral(m: Mesh) -> DataFrame:
     return rows.select("*", *(c.alias(k) for c, k in zip(quantize.from_octahedral(F.col("u"), F.col("v"), 8), "xyz")))
 
 
+def _quaternions(m: Mesh) -> DataFrame:
+    """Quaternions from positions, in 12 bits, and what comes back."""
+    x, y, z = V.vec("")
+    size = F.sqrt((x - 15.5) * (x - 15.5) + (y - 2.25) * (y - 2.25) + (z - 10.125) * (z - 10.125) + 36.0)
+    q = m.vertices.select("mesh_id", "vid", *((c / size).alias(f"q{k}") for k, c in enumerate((x - 15.5, y - 2.25, z - 10.125, F.lit(-6.0)))))
+    d = q.select("mesh_id", "vid", *(c.alias(f"d{k}") for k, c in enumerate(quantize.quaternion(tuple(F.col(f"q{k}") for k in range(4)), 12))))
+    return d.select("*", *(c.alias(f"b{k}") for k, c in enumerate(quantize.from_quaternion(tuple(F.col(f"d{k}") for k in range(4))))))
+
+
+def _exponentials(m: Mesh) -> DataFrame:
+    """Heights and places with powers of their own, of their vertex, of their mesh's column, and clamped ones, and the heights that come back."""
+    v = m.vertices.select("mesh_id", "vid", *((F.col(c).cast("double") - o).alias(c) for c, o in (("x", 7.25), ("y", 2.5), ("z", 10.125))))
+    shared = v.groupBy("mesh_id").agg(F.max(quantize.power(F.col("z"))).alias("of_column"))
+    z, own = F.col("z"), quantize.power(F.col("z"))
+    of_vector = F.greatest(*(quantize.power(F.col(c)) for c in "xyz"))
+    rows = v.join(shared, "mesh_id").select("mesh_id", "vid", *(quantize.exponential(z, p, 12).alias(n) for n, p in (("own", own), ("vector", of_vector), ("component", F.col("of_column")), ("clamped", quantize.power(z, 0)))))
+    return rows.select("*", *(quantize.from_exponential(F.col(n)).alias(n + "_back") for n in ("own", "vector", "component", "clamped")))
+
+
+def _colors(m: Mesh) -> DataFrame:
+    """Places in their mesh's extent as colours of 8 bits, in another colour space, and back."""
+    at = m.vertices.join(bounds(m.vertices), "mesh_id")
+    r, g, b = ((F.col(c).cast("double") - F.col("lo" + c)) / F.col("extent") for c in "xyz")
+    c = at.select("mesh_id", "vid", *(k.alias(n) for k, n in zip(quantize.color(r, g, b, (r + g) / 2, 8), ("luma", "orange", "lime", "alpha"))))
+    return c.select("*", *(k.alias(n) for k, n in zip(quantize.from_color(*(F.col(n) for n in ("luma", "orange", "lime", "alpha"))), "rgba")))
+
+
+def _turned(t: DataFrame, names: tuple[str, str, str], *more: str) -> DataFrame:
+    """Triangles turned so that the least index comes first."""
+    a, b, c = names
+    first = F.least(*names)
+    turn = lambda x, y, z: F.when(F.col(a) == first, F.col(x)).when(F.col(b) == first, F.col(y)).otherwise(F.col(z))
+    return t.select("mesh_id", *more, first.alias("a"), turn(b, c, a).alias("b"), turn(c, a, b).alias("c"))
+
+
 def _integrity(m: Mesh) -> DataFrame:
     return foundations.integrity_report(heightfields.soup(m))
 
@@ -117,6 +152,11 @@ ON_PARTS: dict[str, Callable[[Mesh], DataFrame]] = {
     "mesh_vertex_fetch": lambda m: analysis.vertex_fetch(m, 40),
     "mesh_meshlet_indices": lambda m: analysis.meshlet_indices(m.triangles.withColumn("meshlet_id", F.expr("tid div 48"))),
     "mesh_scanned_meshlets": lambda m: analysis.scanned_meshlets(m, 1000, 32),
+    "mesh_strips": lambda m: _turned(rendering.unstripped(rendering.strips(m)), ("i0", "i1", "i2")),
+    "mesh_provoking": lambda m: _turned(rendering.provoking_indices(m), ("v0", "v1", "v2"), "tid", "i0"),
+    "mesh_quaternions": _quaternions,
+    "mesh_exponentials": _exponentials,
+    "mesh_colors": _colors,
     "mesh_fetch_order": lambda m: foundations.first_use(m.triangles),
     "mesh_spatial_order": buffers.spatial_order,
     "mesh_spatial_triangles": buffers.spatial_triangle_order,
@@ -154,6 +194,7 @@ P AS (SELECT DISTINCT mesh_id, a, b FROM ({links})),
 R AS (SELECT mesh_id, node, node AS label FROM ({nodes}) UNION SELECT R.mesh_id, P.b, R.label FROM R JOIN P ON P.mesh_id = R.mesh_id AND P.a = R.node WHERE P.b > R.label),
 LAB AS (SELECT mesh_id, node, min(label) AS label FROM R GROUP BY ALL)"""
 _VERTEX_LINKS = _REACH.format(links="SELECT mesh_id, src AS a, dst AS b FROM H UNION ALL SELECT mesh_id, dst, src FROM H", nodes="SELECT DISTINCT mesh_id, src AS node FROM H")
+_LEAST_FIRST = "least(i0, i1, i2) AS a, CASE least(i0, i1, i2) WHEN i0 THEN i1 WHEN i1 THEN i2 ELSE i0 END AS b, CASE least(i0, i1, i2) WHEN i0 THEN i2 WHEN i1 THEN i0 ELSE i1 END AS c"
 _KINDS = """
 OPEN AS (SELECT mesh_id, CASE WHEN n_fwd > 0 THEN lo ELSE hi END AS src, CASE WHEN n_fwd > 0 THEN hi ELSE lo END AS dst FROM E WHERE n_fwd IN (0, n_tri)),
 KI AS (SELECT mesh_id, vid, CASE WHEN max(n_out) = 0 AND max(n_in) = 0 THEN 'manifold' WHEN max(n_out) <= 1 AND max(n_in) <= 1 THEN 'border' ELSE 'locked' END AS kind FROM (
@@ -297,6 +338,31 @@ SQL = {
     ),
     # runs that only the count of triangles ends
     "mesh_scanned_meshlets": _sql("SELECT mesh_id, row // 32 AS meshlet_id, row AS tid, i0, i1, i2 FROM (SELECT *, row_number() OVER (PARTITION BY mesh_id ORDER BY tid) - 1 AS row FROM T)"),
+    "mesh_strips": _sql(f"SELECT mesh_id, {_LEAST_FIRST} FROM T"),
+    "mesh_provoking": _sql(f"SELECT mesh_id, row AS tid, row AS i0, {_LEAST_FIRST} FROM (SELECT *, row_number() OVER (PARTITION BY mesh_id ORDER BY tid) - 1 AS row FROM T)"),
+    "mesh_quaternions": _sql(
+        "SELECT mesh_id, vid, d0, d1, d2, d3, " + ", ".join(f"(sign(o[{k} - place + 1 + CASE WHEN place > {k} THEN 4 ELSE 0 END]) * floor(abs(o[{k} - place + 1 + CASE WHEN place > {k} THEN 4 ELSE 0 END]) * (32767 / sqrt(2.0::DOUBLE)) / 2047 + 0.5))::INT AS b{k}" for k in range(4)) + " FROM QD",
+        "QA AS (SELECT mesh_id, vid, x::DOUBLE - 15.5 AS a, y::DOUBLE - 2.25 AS b, z::DOUBLE - 10.125 AS c, -6.0::DOUBLE AS d FROM V), "
+        "QB AS (SELECT mesh_id, vid, [a / s, b / s, c / s, d / s] AS q FROM (SELECT *, sqrt(a * a + b * b + c * c + 36.0) AS s FROM QA)), "
+        "QP AS (SELECT *, list_position([abs(e) for e in q], greatest(abs(q[1]), abs(q[2]), abs(q[3]), abs(q[4]))) - 1 AS place FROM QB), "
+        "QC AS (SELECT mesh_id, vid, place, " + ", ".join(f"q[(place + {k}) % 4 + 1] * sqrt(2.0::DOUBLE) * sign(q[place + 1]) AS v{k}" for k in (1, 2, 3)) + " FROM QP), "
+        "QE AS (SELECT mesh_id, vid, place, " + ", ".join(f"(sign(v{k + 1}) * floor(least(1, abs(v{k + 1})) * 2047 + 0.5))::INT AS d{k}" for k in range(3)) + ", (2044 + place)::INT AS d3 FROM QC), "
+        "QD AS (SELECT *, [sqrt(2 * 2047 ** 2 - d0 * d0 - d1 * d1 - d2 * d2), d0, d1, d2] AS o FROM QE)",
+    ),
+    "mesh_exponentials": _sql(
+        "SELECT mesh_id, vid, " + ", ".join(f"(((p{k} - 11) & 255)::BIGINT * 16777216 + m{k} - CASE WHEN p{k} < 11 THEN 4294967296 ELSE 0 END + CASE WHEN m{k} < 0 THEN 16777216 ELSE 0 END)::INT AS {k}, round(m{k} * 2.0 ** (p{k} - 11), 4) + 0.0 AS {k}_back" for k in ("own", "vector", "component", "clamped")) + " FROM XM",
+        "XV AS (SELECT mesh_id, vid, x::DOUBLE - 7.25 AS x, y::DOUBLE - 2.5 AS y, z::DOUBLE - 10.125 AS z FROM V), "
+        "XP AS (SELECT *, " + ", ".join(f"CASE WHEN {c} = 0 THEN 0 ELSE floor(log2(abs({c})))::INT + 1 END AS e{c}" for c in "xyz") + " FROM XV), "
+        "XS AS (SELECT mesh_id, vid, z, ez AS pown, greatest(ex, ey, ez) AS pvector, max(ez) OVER (PARTITION BY mesh_id) AS pcomponent, greatest(ez, 0) AS pclamped FROM XP), "
+        "XM AS (SELECT *, " + ", ".join(f"(sign(z) * floor(abs(z) * 2.0 ** (11 - p{k}) + 0.5))::BIGINT AS m{k}" for k in ("own", "vector", "component", "clamped")) + " FROM XS)",
+    ),
+    "mesh_colors": _sql(
+        "SELECT mesh_id, vid, luma, orange, lime, alpha, luma + orange - lime AS r, luma + lime AS g, luma - orange - lime AS b, ((alpha * 2) & 255) | (alpha & 1) AS a FROM CB",
+        "CU AS (SELECT mesh_id, vid, (x::DOUBLE - lox) / extent AS x, (y::DOUBLE - loy) / extent AS y, (z::DOUBLE - loz) / extent AS z FROM V JOIN B USING (mesh_id)), "
+        "CI AS (SELECT mesh_id, vid, floor(x * 255 + 0.5)::INT AS r, floor(y * 255 + 0.5)::INT AS g, floor(z * 255 + 0.5)::INT AS b, 128 + floor((x + y) / 2 * 255 + 0.5)::INT // 2 AS alpha FROM CU), "
+        "CO AS (SELECT *, trunc((r - b) / 2)::INT AS orange FROM CI), "
+        "CB AS (SELECT *, b + orange + trunc((g - b - orange) / 2)::INT AS luma, trunc((g - b - orange) / 2)::INT AS lime FROM CO)",
+    ),
     "mesh_fetch_order": _sql("SELECT mesh_id, vid, row_number() OVER (PARTITION BY mesh_id ORDER BY pos) - 1 AS wid FROM (SELECT mesh_id, src AS vid, min(3 * tid + k) AS pos FROM H GROUP BY ALL)"),
     "mesh_spatial_order": _sql(
         "SELECT mesh_id, vid, row_number() OVER (PARTITION BY mesh_id ORDER BY m, vid) - 1 AS place FROM (SELECT mesh_id, vid, " + _MORTON.format("kx", "ky", "kz") + " AS m FROM K)",

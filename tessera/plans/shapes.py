@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import vec as V
-from tessera.model import Mesh
-from tessera.operators import alignment, curvature, decimation, foundations, segmentation, slicing, winding
+from tessera.model import Mesh, corners
+from tessera.operators import alignment, curvature, decimation, foundations, rendering, segmentation, slicing, winding
 from tessera.sources import lathes
 from tessera.sources.lathes import AROUND, RINGS
 
@@ -46,6 +46,13 @@ def _simplified(m: Mesh) -> DataFrame:
     return t.groupBy("mesh_id", "before", "after", F.round("error", 3).alias("error")).agg(F.round(F.sum(area), 2).alias("area"))
 
 
+def _clusters(m: Mesh) -> DataFrame:
+    """Bounds of the quarters of tubes."""
+    quarter = F.expr(f"((tid div 2) % {AROUND}) div {AROUND // 4}")
+    out = rendering.cluster_bounds(corners(m).withColumn("meshlet_id", quarter))
+    return out.select(*((F.round(c, 3) + 0.0).alias(c) if k == "double" else F.col(c) for c, k in out.dtypes))
+
+
 def _checkered(m: Mesh) -> DataFrame:
     """Every other quadrangle is gone: the inner points hold two corners that share no edge."""
     q = "(tid div 2)"
@@ -105,6 +112,7 @@ SOME: dict[str, tuple[tuple[int, ...], Callable[[Mesh], DataFrame]]] = {
     "mesh_segmented_ransac": ((0, 1), lambda m: _regions(m, segmentation.RansacOptions(min_support=60))),
     "mesh_aligned": ((2,), _aligned),
     "mesh_simplified": ((0, 1, 3), _simplified),
+    "mesh_cluster_bounds": ((0,), _clusters),
     "mesh_section_stack": ((0, 1, 3), _stack),
     "mesh_curvature": ((0,), _curvature),
     "mesh_slippage": ((0, 1, 2), _slippage),
@@ -152,6 +160,9 @@ SQL = {
     "mesh_segmented_ransac": _BASE + _REGIONS + "SELECT REG.* FROM REG JOIN S USING (mesh_id) WHERE kind < 2",
     "mesh_aligned": f"WITH {lathes.SHAPES_SQL} SELECT mesh_id AS pair_id, " + ", ".join(f"round({v!r}::DOUBLE, 2) + 0.0 AS m{r}{c}" for r, row in enumerate(_motion_back()) for c, v in enumerate(row)) + ", true AS converged FROM S WHERE kind = 2",
     "mesh_simplified": _BASE.rstrip(",\n") + " SELECT mesh_id, 288::BIGINT AS before, 144::BIGINT AS after, 0.0::DOUBLE AS error, round(area, 2) AS area FROM AR WHERE kind <> 2",
+    "mesh_cluster_bounds": f"WITH {lathes.SHAPES_SQL}, Q AS (SELECT *, cos(radians(90 * k + 45)) AS c, sin(radians(90 * k + 45)) AS s FROM S, (SELECT unnest(range(4)) AS k) WHERE kind = 0) SELECT mesh_id, k AS meshlet_id, "
+    + ", ".join(f"round({v}, 3) + 0.0 AS {n}" for n, v in (("x", "r * c / sqrt(2)"), ("y", "r * s / sqrt(2)"), ("z", "h / 2"), ("radius", "sqrt(2 * r * r + h * h) / 2"), ("apex_x", "r * c / sqrt(2)"), ("apex_y", "r * s / sqrt(2)"), ("apex_z", "h / 2"), ("axis_x", "c"), ("axis_y", "s"), ("axis_z", "0.0::DOUBLE"), ("cutoff", "sin(radians(37.5))")))
+    + ", (sign(c) * 90)::INT AS s8_x, (sign(s) * 90)::INT AS s8_y, 0 AS s8_z, floor(127 * (sin(radians(37.5)) + 2 * abs(90 / 127 - sqrt(0.5))) + 1)::INT AS s8_cutoff FROM Q",
     "mesh_boundary_loops": f"WITH {lathes.SHAPES_SQL} SELECT mesh_id, k AS loop_id, {AROUND}::BIGINT AS n, {AROUND * (RINGS - 1)} * k AS least, {AROUND * (RINGS - 1)} * k + {AROUND - 1} AS greatest FROM S, (SELECT unnest([0, 1])::BIGINT AS k)",
     "mesh_nonmanifold_vertices": f"WITH {lathes.SHAPES_SQL} SELECT mesh_id, vid FROM S, (SELECT unnest(range({AROUND}, {AROUND * (RINGS - 1)})) AS vid)",
     "mesh_orientation": f"WITH {lathes.SHAPES_SQL} SELECT mesh_id, mesh_id % 3 = 0 AS looks_inverted FROM S",

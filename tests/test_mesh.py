@@ -5,11 +5,12 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.functions import quantize
 from tessera.functions.vec import fibonacci_directions
-from tessera.model import TRIANGLES, VERTICES, Mesh
-from tessera.operators import alignment, analysis, curvature, decimation, fitting, foundations, segmentation, slicing, winding
+from tessera.model import TRIANGLES, VERTICES, Mesh, corners
+from tessera.operators import alignment, analysis, curvature, decimation, fitting, foundations, rendering, segmentation, slicing, winding
 from tessera.sources import lathes
 
 #: Corners at distance 2 on the axes; every face joins one corner of each axis. Edges 2 * sqrt(2), faces 2 * sqrt(3).
@@ -150,14 +151,9 @@ def test_decimation_bounds_and_options():
             decimation.SimplifyOptions(**bad)
 
 
-def ring(around, across, r=3.0):
-    """A torus: closed, with as many vertices as quadrangles."""
-    i, j = (k.reshape(-1) for k in np.meshgrid(np.arange(around), np.arange(across), indexing="ij"))
-    u, v = 2 * np.pi * i / around, 2 * np.pi * j / across
-    p = np.stack(((r + np.cos(v)) * np.cos(u), (r + np.cos(v)) * np.sin(u), np.sin(v)), 1)
-    at = lambda a, b: (a % around) * across + b % across
-    a, b, c, d = at(i, j), at(i + 1, j), at(i + 1, j + 1), at(i, j + 1)
-    return p, np.concatenate((np.stack((a, b, c), 1), np.stack((a, c, d), 1)))
+def ring(around, across):
+    p, t = ring_of_rings(3.0, 1.0, around, across)
+    return np.array(p), np.array(t)
 
 
 def edge_counts(t):
@@ -268,3 +264,68 @@ def test_vertex_cache_and_meshlets(spark):
             assert len(rows) == 7 or len(used | {nxt.i0, nxt.i1, nxt.i2}) > 10
     with pytest.raises(ValueError):
         analysis.scanned_meshlets(m, 2)
+
+
+def test_strips_and_provoking_indices(spark):
+    p, t = ring(12, 7)
+    t = np.concatenate((t, [[3, 3, 9]]))  # one triangle that is none
+    m = mesh(spark, (p, t))
+    turned = lambda rows: sorted(tuple(r[k:] + r[:k]) for r in rows for k in [r.index(min(r))])
+    strip = rendering.strips(m)
+    back = [[x.i0, x.i1, x.i2] for x in rendering.unstripped(strip).collect()]
+    assert turned(back) == turned(t[:-1].tolist())
+    assert strip.count() < 2.2 * len(t)  # three places a triangle without strips
+    rows = sorted(rendering.provoking_indices(m).collect(), key=lambda x: x.tid)
+    assert [x.i0 for x in rows] == list(range(len(t)))
+    assert turned([[x.v0, x.v1, x.v2] for x in rows]) == turned(t.tolist())
+    table = {(x[f"i{k}"], x[f"v{k}"]) for x in rows for k in range(3)}
+    assert sorted(i for i, _ in table) == list(range(len(table)))  # each index stands for one vertex, without gaps
+
+
+def test_cache_order_serves_the_cache_better(spark):
+    p, t = ring(24, 18)
+    t = t[np.random.default_rng(3).permutation(len(t))]
+    before = analysis.vertex_cache(mesh(spark, (p, t))).first()
+    order = [x.tid for x in rendering.cache_order(mesh(spark, (p, t))).orderBy("place").collect()]
+    assert sorted(order) == list(range(len(t)))
+    after = analysis.vertex_cache(mesh(spark, (p, t[order]))).first()
+    assert after.acmr < 0.85 < 2 < before.acmr
+
+
+def test_bounds_of_clusters_and_spheres(spark):
+    p, t = ring(10, 6)
+    m = mesh(spark, (p, t))
+    patches = corners(m).withColumn("meshlet_id", F.col("tid") % 5)
+    for x in rendering.cluster_bounds(patches.where("meshlet_id < 2")).collect() + rendering.cluster_bounds(patches.withColumn("meshlet_id", F.col("tid"))).collect():
+        rows = [f for f in range(len(t)) if (f % 5 == x.meshlet_id if x.cutoff == 1 else f == x.meshlet_id)]
+        far = max(np.linalg.norm(p[v] - (x.x, x.y, x.z)) for f in rows for v in t[f])
+        assert far <= x.radius + 1e-5
+        for f in rows if x.cutoff < 1 else []:
+            n = np.cross(p[t[f][1]] - p[t[f][0]], p[t[f][2]] - p[t[f][0]])
+            assert n @ (x.axis_x, x.axis_y, x.axis_z) / np.linalg.norm(n) > 1 - 1e-4 and x.s8_cutoff >= 127 * x.cutoff
+            assert n @ (np.array((x.apex_x, x.apex_y, x.apex_z)) - p[t[f][0]]) < 1e-4
+    balls = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 1.0), (1, 5.0, 0.0, 0.0, 2.0), (1, 2.0, 0.5, 0.0, None), (2, None, 0.0, 0.0, 1.0), (3, 1.0, 2.0, 3.0, 0.0)], "mesh_id long, x double, y double, z double, radius double")
+    got = {b.mesh_id: b for b in rendering.sphere_bounds(balls).collect()}
+    assert set(got) == {1, 3} and (got[1].x, got[1].radius, got[3].radius) == (3.0, 4.0, 0.0)
+
+
+def test_vertex_filters(spark):
+    rng = np.random.default_rng(5)
+    q = rng.normal(size=(60, 4))
+    q = np.concatenate((q / np.linalg.norm(q, axis=1, keepdims=True), [[0.5, 0.5, 0.5, 0.5], [-1, 0, 0, 0], [0, 0, -1, 0]]))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in q], "a double, b double, c double, d double")
+    codes = df.select("*", *(c.alias(f"e{k}") for k, c in enumerate(quantize.quaternion((df.a, df.b, df.c, df.d), 12))))
+    for r in codes.select("*", *(c.alias(f"f{k}") for k, c in enumerate(quantize.from_quaternion(tuple(F.col(f"e{k}") for k in range(4)))))).collect():
+        one, other = np.array(r[:4]), np.array(r[8:]) / 32767
+        assert min(abs(one - other).max(), abs(one + other).max()) < 1e-3 and r.e3 % 4 == int(np.abs(one).argmax())
+    v = [0.0, 1.0, -1.0, 0.3, -2.75, 1000.0, 1e-9, -65535.5, 8.0, 3.4e5]
+    df = spark.createDataFrame([(x,) for x in v], "v double")
+    for bits in (8, 15, 24):
+        for r in df.select("v", quantize.from_exponential(quantize.exponential(F.col("v"), quantize.power(F.col("v")), bits)).alias("w")).collect():
+            assert abs(r.v - r.w) <= abs(r.v) * 2.0 ** (1 - bits)
+    c = rng.random((80, 4))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in [*c, (0, 0, 0, 0), (1, 1, 1, 1), (0, 1, 0, 1)]], "r double, g double, b double, a double")
+    codes = df.select("*", *(k.alias(n) for k, n in zip(quantize.color(df.r, df.g, df.b, df.a, 8), "yuvw")))
+    for r in codes.select("*", *(k.alias("o" + n) for k, n in zip(quantize.from_color(*(F.col(n) for n in "yuvw")), "rgba"))).collect():
+        # the halved differences lose a bit each, alpha its lowest
+        assert all(abs(r["o" + n] - int(r[n] * 255 + 0.5)) <= 1 for n in "rgb") and abs(r.oa - r.a * 255) <= 1.6
