@@ -167,7 +167,15 @@ def _query(run: Callable[[Mesh], DataFrame]) -> Callable[[SparkSession, str], Da
     return lambda spark, sf_dir: rounded(run(heightfields.parts(spark, sf_dir)))
 
 
-QUERIES = {name: _query(run) for name, run in ON_PARTS.items()} | {"mesh_summary_orders": lambda spark, sf_dir: summary(heightfields.orders(spark, sf_dir))}
+def _halved(mesh: Mesh) -> DataFrame:
+    """Half of the triangles of each mesh: counts, and the ground that the result covers."""
+    out = decimation.simplified(mesh, decimation.SimplifyOptions(target_reduction=0.5)).select("mesh_id", "before", "after", "vertices", F.explode("triangles").alias("t"))
+    (ax, ay), (bx, by), (cx, cy) = ([F.col("vertices")[F.col("t")[k]][c] for c in range(2)] for k in range(3))
+    return out.groupBy("mesh_id", "before", "after").agg(F.round(F.sum((bx - ax) * (cy - ay) - (by - ay) * (cx - ax)) / 2, 3).alias("ground"))
+
+
+ON_ORDERS: dict[str, Callable[[Mesh], DataFrame]] = {"mesh_summary_orders": summary, "mesh_simplified_orders": _halved}
+QUERIES = {name: _query(run) for name, run in ON_PARTS.items()} | {name: (lambda spark, sf_dir, run=run: run(heightfields.orders(spark, sf_dir))) for name, run in ON_ORDERS.items()}
 
 C_SQL = """
 C AS MATERIALIZED (SELECT T.*, a.x::DOUBLE ax, a.y::DOUBLE ay, a.z::DOUBLE az, b.x::DOUBLE bx, b.y::DOUBLE "by", b.z::DOUBLE bz, c.x::DOUBLE cx, c.y::DOUBLE cy, c.z::DOUBLE cz
@@ -373,19 +381,30 @@ SQL = {
         "K AS (SELECT V.mesh_id, vid, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z, " + ", ".join(_CELL.format(v=f"{c}::DOUBLE", c=c, m=11) + f" AS k{c}" for c in "xyz") + " FROM V JOIN B USING (mesh_id)), M AS (SELECT *, avg(x) OVER w AS mx, avg(y) OVER w AS my, avg(z) OVER w AS mz FROM K WINDOW w AS (PARTITION BY mesh_id, kx, ky, kz))",
     ),
 }
-SQL["mesh_summary_orders"] = (
-    SQL["mesh_summary"]
-    .replace("p_partkey", "o_orderkey")
-    .replace("p_retailprice / 100", "o_totalprice / 20000")
-    .replace("FROM part)", "FROM orders)")
-    .replace("% 200", "% 15000")
-    .replace("// 200 ", "// 15000 ")
-    .replace("o_orderkey % 40", "o_orderkey % 100")
-    .replace("//40", "// 100")
-    .replace("// 40)", "// 100)")
-    .replace("vid + 41", "vid + 101")
-    .replace("vid + 40", "vid + 100")
-    .replace("a.x < 39", "a.x < 99")
+
+
+def _on_orders(sql: str) -> str:
+    """The SQL of a query over parts, over the meshes of orders."""
+    return (
+        sql
+        .replace("p_partkey", "o_orderkey")
+        .replace("p_retailprice / 100", "o_totalprice / 20000")
+        .replace("FROM part)", "FROM orders)")
+        .replace("% 200", "% 15000")
+        .replace("// 200 ", "// 15000 ")
+        .replace("o_orderkey % 40", "o_orderkey % 100")
+        .replace("//40", "// 100")
+        .replace("// 40)", "// 100)")
+        .replace("vid + 41", "vid + 101")
+        .replace("vid + 40", "vid + 100")
+        .replace("a.x < 39", "a.x < 99")
+    )
+
+
+SQL["mesh_summary_orders"] = _on_orders(SQL["mesh_summary"])
+# inner collapses take two triangles each; with its border kept, what a mesh covers of the ground stays
+SQL["mesh_simplified_orders"] = _on_orders(
+    _sql('SELECT mesh_id, count(*) AS before, count(*) - 2 * ceil((count(*) - round_even(count(*) / 2, 0)) / 2)::BIGINT AS after, round(sum(rz) / 2, 3) AS ground FROM L GROUP BY 1')
 )
 QUERIES |= shapes.QUERIES
 SQL |= shapes.SQL
