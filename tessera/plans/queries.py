@@ -203,6 +203,7 @@ R AS (SELECT mesh_id, node, node AS label FROM ({nodes}) UNION SELECT R.mesh_id,
 LAB AS (SELECT mesh_id, node, min(label) AS label FROM R GROUP BY ALL)"""
 _VERTEX_LINKS = _REACH.format(links="SELECT mesh_id, src AS a, dst AS b FROM H UNION ALL SELECT mesh_id, dst, src FROM H", nodes="SELECT DISTINCT mesh_id, src AS node FROM H")
 _LEAST_FIRST = "least(i0, i1, i2) AS a, CASE least(i0, i1, i2) WHEN i0 THEN i1 WHEN i1 THEN i2 ELSE i0 END AS b, CASE least(i0, i1, i2) WHEN i0 THEN i2 WHEN i1 THEN i0 ELSE i1 END AS c"
+_PLANES = "K0 AS (SELECT mesh_id, unnest([i0, i1, i2]) AS vid, rx / len AS x, ry / len AS y, rz / len AS z, sqrt(len) AS w, ax, ay, az FROM L WHERE len > 0), K AS (SELECT *, -(x * ax + y * ay + z * az) AS d FROM K0)"
 _KINDS = """
 OPEN AS (SELECT mesh_id, CASE WHEN n_fwd > 0 THEN lo ELSE hi END AS src, CASE WHEN n_fwd > 0 THEN hi ELSE lo END AS dst FROM E WHERE n_fwd IN (0, n_tri)),
 KI AS (SELECT mesh_id, vid, CASE WHEN max(n_out) = 0 AND max(n_in) = 0 THEN 'manifold' WHEN max(n_out) <= 1 AND max(n_in) <= 1 THEN 'border' ELSE 'locked' END AS kind FROM (
@@ -276,7 +277,15 @@ SQL = {
     "mesh_simplify_scale": _sql("SELECT mesh_id, round(extent, 4) AS scale FROM B"),
     "mesh_vertex_quadrics": _sql(
         "SELECT mesh_id, vid, " + ", ".join(f"round(sum(w * {e}), 4) + 0.0 AS {n}" for n, e in (("qxx", "x * x"), ("qyy", "y * y"), ("qzz", "z * z"), ("qxy", "x * y"), ("qxz", "x * z"), ("qyz", "y * z"), ("qx", "x * d"), ("qy", "y * d"), ("qz", "z * d"), ("qc", "d * d"), ("qw", "1"))) + " FROM K GROUP BY 1, 2",
-        "K0 AS (SELECT mesh_id, unnest([i0, i1, i2]) AS vid, rx / len AS x, ry / len AS y, rz / len AS z, sqrt(len) AS w, ax, ay, az FROM L WHERE len > 0), K AS (SELECT *, -(x * ax + y * ay + z * az) AS d FROM K0)",
+        _PLANES,
+    ),
+    "mesh_sloppy": _sql(
+        "SELECT mesh_id, min(m.tid) AS tid, arg_min(a, m.tid) AS i0, arg_min(b, m.tid) AS i1, arg_min(c, m.tid) AS i2 FROM SM m WHERE a <> b AND b <> c AND a <> c GROUP BY mesh_id, list_sort([a, b, c])",
+        _PLANES + ", SC AS (SELECT V.mesh_id, vid, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z, " + ", ".join(_CELL.format(v=f"{c}::DOUBLE", c=c, m=11) + f" AS k{c}" for c in "xyz") + " FROM V JOIN B USING (mesh_id)), "
+        "SQ AS (SELECT SC.mesh_id, kx, ky, kz, " + ", ".join(f"sum(w * {e}) AS {n}" for n, e in (("xx", "K.x * K.x"), ("yy", "K.y * K.y"), ("zz", "K.z * K.z"), ("xy", "K.x * K.y"), ("xz", "K.x * K.z"), ("yz", "K.y * K.z"), ("dx", "K.x * d"), ("dy", "K.y * d"), ("dz", "K.z * d"), ("dd", "d * d"))) + " FROM SC JOIN K USING (mesh_id, vid) GROUP BY 1, 2, 3, 4), "
+        "SE AS (SELECT SC.*, abs(xx * x * x + yy * y * y + zz * z * z + 2 * (xy * x * y + xz * x * z + yz * y * z) + 2 * (dx * x + dy * y + dz * z) + dd) AS e FROM SC JOIN SQ USING (mesh_id, kx, ky, kz) WHERE (SC.mesh_id, SC.vid) IN (SELECT (mesh_id, vid) FROM K)), "
+        "SB AS (SELECT mesh_id, kx, ky, kz, arg_min(vid, (round(e, 9), vid)) AS wid FROM SE GROUP BY ALL), SW AS (SELECT SC.mesh_id, vid, wid FROM SC JOIN SB USING (mesh_id, kx, ky, kz)), "
+        "SM AS (SELECT T.mesh_id, tid, a.wid AS a, b.wid AS b, c.wid AS c FROM T JOIN SW a ON a.mesh_id = T.mesh_id AND a.vid = i0 JOIN SW b ON b.mesh_id = T.mesh_id AND b.vid = i1 JOIN SW c ON c.mesh_id = T.mesh_id AND c.vid = i2)",
     ),
     "mesh_vertex_kinds": _sql("SELECT * FROM KI", _KINDS, True),
     "mesh_border_quadrics": _sql(
