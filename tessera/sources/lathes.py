@@ -36,4 +36,4 @@ def lathes(of: DataFrame) -> Mesh:
 
 
 #: The same shapes in SQL for DuckDB.
-SHAPES_SQL = "S AS (SELECT s_suppkey::BIGINT AS mesh_id, s_suppkey % 4 AS kind, 2.0 + (s_suppkey // 4) % 5 AS r, 6.0 + (s_suppkey // 20) % 4 AS h FROM supplier WHERE s_suppkey IS NOT NULL)"
+SHAPES_SQL = "S AS (SELECT s_suppkey::BIGINT AS mesh_id, s_suppkey % 4 AS kind, (2.0 + (s_suppkey // 4) % 5)::DOUBLE AS r, (6.0 + (s_suppkey // 20) % 4)::DOUBLE AS h FROM supplier WHERE s_suppkey IS NOT NULL)"
