@@ -1,7 +1,11 @@
-"""Meshes as relations: vertices(mesh_id, vid, x, y, z) and triangles(mesh_id, tid, i0, i1, i2)."""
+"""Meshes as relations: vertices(mesh_id, vid, x, y, z) and triangles(mesh_id, tid, i0, i1, i2).
+
+Joins carry the hint ``merge``: Spark takes exploded tables for as small as the file they come from and would gather them on the driver.
+"""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -11,18 +15,30 @@ VERTICES = "mesh_id long, vid long, x float, y float, z float"
 TRIANGLES = "mesh_id long, tid long, i0 long, i1 long, i2 long"
 
 
+#: Vertices to a partition of a source's meshes.
+FILL = 1 << 17
+
+
 @dataclass(frozen=True)
 class Mesh:
     vertices: DataFrame
     triangles: DataFrame
 
 
+def dealt(rows: DataFrame, vertices: int) -> DataFrame:
+    """Rows that stand for so many vertices each, dealt by mesh_id to partitions of about FILL vertices (and one for each core at least).
+
+    Small files are one task to Spark, whatever is made of them. What is dealt by mesh_id also meets and groups without another shuffle.
+    """
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() * vertices / FILL)), "mesh_id")
+
+
 def corners(mesh: Mesh) -> DataFrame:
     """Every triangle with the positions of its corners: mesh_id, tid, i0..i2, ax..cz. Indices without a vertex drop out."""
     out = mesh.triangles
     for k, p in enumerate("abc"):
         v = mesh.vertices.select("mesh_id", F.col("vid").alias(f"i{k}"), *(F.col(c).alias(p + c) for c in "xyz"))
-        out = out.join(v, ["mesh_id", f"i{k}"])
+        out = out.join(v.hint("merge"), ["mesh_id", f"i{k}"])
     return out.select("mesh_id", "tid", "i0", "i1", "i2", *(p + c for p in "abc" for c in "xyz"))
 
 

@@ -54,7 +54,7 @@ def vertex_fetch(mesh: Mesh, vertex_size: int) -> DataFrame:
     read = lines.withColumn("fetched", (~F.lag("line").over(place).eqNullSafe(F.col("line"))).cast("long"))
     sums = read.groupBy("mesh_id").agg((F.sum("fetched") * LINE).alias("bytes_fetched"))
     used = at.groupBy("mesh_id", "vid").agg(F.lit(1)).groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n"))
-    return sums.join(used, "mesh_id").select("mesh_id", "bytes_fetched", (F.col("bytes_fetched") / (F.col("n") * vertex_size)).alias("overfetch"))
+    return sums.join(used.hint("merge"), "mesh_id").select("mesh_id", "bytes_fetched", (F.col("bytes_fetched") / (F.col("n") * vertex_size)).alias("overfetch"))
 
 
 def meshlet_indices(triangles: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def meshlet_indices(triangles: DataFrame) -> DataFrame:
     first = c.groupBy("mesh_id", "meshlet_id", "vid").agg(F.min(3 * F.col("tid") + F.col("k")).alias("pos"))
     w = Window.partitionBy("mesh_id", "meshlet_id")
     local = first.select("mesh_id", "meshlet_id", "vid", (F.row_number().over(w.orderBy("pos")) - 1).cast("long").alias("l"), F.count(F.lit(1)).over(w).alias("n_vertices"))
-    out = c.join(local, ["mesh_id", "meshlet_id", "vid"]).groupBy("mesh_id", "meshlet_id", "tid")
+    out = c.join(local.hint("merge"), ["mesh_id", "meshlet_id", "vid"]).groupBy("mesh_id", "meshlet_id", "tid")
     return out.agg(*(F.max(F.when(F.col("k") == k, F.col("l"))).alias(f"l{k}") for k in range(3)), F.max("n_vertices").alias("n_vertices"))
 
 

@@ -177,7 +177,7 @@ def slippages(mesh: Mesh, most: int = 2000) -> DataFrame:
 def crease_edges(mesh: Mesh, least_degrees: float = 30.0) -> DataFrame:
     """mesh_id, lo, hi, angle of the edges of two triangles that fold by at least ``least_degrees``. DataFrames only."""
     n = face_normals(mesh)
-    h = halfedges(mesh.triangles).select("mesh_id", "lo", "hi", "tid").join(n, ["mesh_id", "tid"])
+    h = halfedges(mesh.triangles).select("mesh_id", "lo", "hi", "tid").join(n.hint("merge"), ["mesh_id", "tid"])
     e = h.groupBy("mesh_id", "lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "nx", "ny", "nz")).alias("a"), F.max(F.struct("tid", "nx", "ny", "nz")).alias("b")).where("n = 2")
     dot = sum(F.col(f"a.n{c}") * F.col(f"b.n{c}") for c in "xyz")
     e = e.select("mesh_id", "lo", "hi", F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)))).alias("angle"))
@@ -192,7 +192,7 @@ def crease_rings(mesh: Mesh, least_degrees: float = 30.0) -> DataFrame:
     at = mesh.vertices.select("mesh_id", "vid", "x", "y", "z")
     e = crease_edges(mesh, least_degrees)
     for k in ("lo", "hi"):
-        e = e.join(at.select("mesh_id", F.col("vid").alias(k), *(F.col(c).alias(k + c) for c in "xyz")), ["mesh_id", k])
+        e = e.join(at.select("mesh_id", F.col("vid").alias(k), *(F.col(c).alias(k + c) for c in "xyz")).hint("merge"), ["mesh_id", k])
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         edge = {(a, b): (d, math.dist(x[:3], x[3:])) for a, b, d, *x in pdf[["lo", "hi", "angle", "lox", "loy", "loz", "hix", "hiy", "hiz"]].itertuples(index=False)}

@@ -85,12 +85,12 @@ def border_quadrics(mesh: Mesh) -> DataFrame:
     back = h.select("mesh_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
     border = vertex_kinds(mesh).where("kind = 'border'").select("mesh_id", "vid")
     ends = F.array(F.struct(F.col("src").alias("vid")), F.struct(F.col("dst").alias("vid")))
-    opened = h.join(back, ["mesh_id", "src", "dst"], "left_anti")
-    near = opened.select("mesh_id", "src", "dst", F.inline(ends)).join(border, ["mesh_id", "vid"], "left_semi").select("mesh_id", "src", "dst").distinct()
+    opened = h.join(back.hint("merge"), ["mesh_id", "src", "dst"], "left_anti")
+    near = opened.select("mesh_id", "src", "dst", F.inline(ends)).join(border.hint("merge"), ["mesh_id", "vid"], "left_semi").select("mesh_id", "src", "dst").distinct()
     along, across = V.sub(V.vec("q"), V.vec("p")), V.sub(V.vec("r"), V.vec("p"))
     square, share = V.dot(along, along), V.dot(across, along)
     upright = [a - b * share / F.when(square > 0, square).otherwise(1.0) for a, b in zip(across, along)]
-    o = opened.join(near, ["mesh_id", "src", "dst"], "left_semi")
+    o = opened.join(near.hint("merge"), ["mesh_id", "src", "dst"], "left_semi")
     planes = ((upright, F.sqrt(square), 1.0), (V.cross(along, across), F.sqrt(V.norm(V.cross(along, across))), 0.0))
     rows = [F.struct(*V.named(n), w.alias("weight"), F.lit(counts).alias("counts")) for n, w, counts in planes]
     each = o.select("mesh_id", "src", "dst", "px", "py", "pz", F.inline(F.array(*rows))).where("nx * nx + ny * ny + nz * nz > 0")

@@ -45,11 +45,11 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     both = stored(links.select("mesh_id", "a", "b").unionAll(links.select("mesh_id", F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     held = labels = stored(nodes.select("mesh_id", "node", F.col("node").alias("label")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), ["mesh_id", "b"]).groupBy("mesh_id", F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        met = labels.join(near, ["mesh_id", "node"], "left").select("mesh_id", "node", "label", F.least("label", "m").alias("m"))
+        near = both.join(labels.withColumnRenamed("node", "b").hint("merge"), ["mesh_id", "b"]).groupBy("mesh_id", F.col("a").alias("node")).agg(F.min("label").alias("m"))
+        met = labels.join(near.hint("merge"), ["mesh_id", "node"], "left").select("mesh_id", "node", "label", F.least("label", "m").alias("m"))
         for k in range(2):
             up = labels.select("mesh_id", F.col("node").alias("m"), F.col("label").alias(f"u{k}"))
-            met = met.join(up, ["mesh_id", "m"]).select("mesh_id", "node", "label", F.least("m", f"u{k}").alias("m"))
+            met = met.join(up.hint("merge"), ["mesh_id", "m"]).select("mesh_id", "node", "label", F.least("m", f"u{k}").alias("m"))
         new = stored(met.select("mesh_id", "node", F.col("m").alias("label"), (F.col("m") < F.col("label")).alias("moved")))
         discard(held)
         held, labels = new, new.drop("moved")

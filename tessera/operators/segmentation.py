@@ -49,9 +49,9 @@ class RansacOptions:
 def smooth_regions(mesh: Mesh, max_dihedral: float = 20.0) -> DataFrame:
     """mesh_id, tid, label: components of triangles over edges that bend by at most ``max_dihedral`` degrees. DataFrames only."""
     n = face_normals(mesh)
-    p = adjacency_pairs(mesh.triangles).where("tid < other").join(n, ["mesh_id", "tid"])
+    p = adjacency_pairs(mesh.triangles).where("tid < other").join(n.hint("merge"), ["mesh_id", "tid"])
     o = n.select("mesh_id", F.col("tid").alias("other"), *(F.col("n" + c).alias("m" + c) for c in "xyz"))
-    p = p.join(o, ["mesh_id", "other"]).where(V.dot(V.vec("n"), V.vec("m")) >= math.cos(math.radians(max_dihedral)))
+    p = p.join(o.hint("merge"), ["mesh_id", "other"]).where(V.dot(V.vec("n"), V.vec("m")) >= math.cos(math.radians(max_dihedral)))
     nodes = mesh.triangles.select("mesh_id", F.col("tid").alias("node"))
     return components(nodes, p.select("mesh_id", F.col("tid").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "tid")
 

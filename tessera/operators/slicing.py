@@ -62,7 +62,7 @@ def stacked_sections(
     first = planes.where("plane_id = 0").select("mesh_id", F.col("offset").alias("start"))
     count = planes.groupBy("mesh_id").agg(F.max("plane_id").alias("last"))
     n = CutPlane.perpendicular(axis, 0).normal
-    c = corners(mesh).join(first, "mesh_id").join(count, "mesh_id")
+    c = corners(mesh).join(first.hint("merge"), "mesh_id").join(count.hint("merge"), "mesh_id")
     d = [sum(((F.col(k + x).cast("double") - float(o)) * float(m) for x, o, m in zip("xyz", through, n)), F.lit(0.0)) for k in "abc"]
     low, high = ((f(*d) - F.col("start")) / float(spacing or 1) for f in (F.least, F.greatest))
     # one plane more on either side: the float distances below decide
@@ -73,7 +73,7 @@ def stacked_sections(
     cut = cut.select("*", *place, *(F.lit(float(k)).alias("n" + x) for x, k in zip("xyz", n)))
     flat = CutPlane.perpendicular(axis, 0).basis()
     out = _contours(mesh, _crossed(cut), lambda _: (None, *flat), min_loop_area, weld, through)
-    return out.join(planes.select("mesh_id", "plane_id", "offset"), ["mesh_id", "plane_id"])
+    return out.join(planes.select("mesh_id", "plane_id", "offset").hint("merge"), ["mesh_id", "plane_id"])
 
 
 def segments(mesh: Mesh, planes: list[CutPlane]) -> DataFrame:
@@ -191,7 +191,7 @@ def _contours(mesh: Mesh, found: DataFrame, of, min_loop_area: float, weld: floa
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in CONTOURS.split(", ")])
         return frame.astype({"depth": "Int32", "parent": "Int32"})
 
-    return found.join(box, "mesh_id").groupBy("mesh_id", "plane_id").applyInPandas(run, CONTOURS)
+    return found.join(box.hint("merge"), "mesh_id").groupBy("mesh_id", "plane_id").applyInPandas(run, CONTOURS)
 
 
 def world_point(plane: CutPlane, u: float, v: float) -> tuple[float, float, float]:

@@ -21,7 +21,7 @@ def winding_number(mesh: Mesh, points: DataFrame) -> DataFrame:
     before the shuffle.
     """
     dealt = points.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    seen = corners(mesh).withColumn("part", F.pmod("tid", F.lit(PARTS)).cast("int")).join(dealt, ["mesh_id", "part"])
+    seen = corners(mesh).withColumn("part", F.pmod("tid", F.lit(PARTS)).cast("int")).join(dealt.hint("merge"), ["mesh_id", "part"])
     return seen.groupBy("mesh_id", "point_id").agg((F.sum(V.solid_angle(V.vec("p"))) / (4 * math.pi)).alias("winding"))
 
 
@@ -36,7 +36,7 @@ def orientation_report(mesh: Mesh, samples: int = 64) -> DataFrame:
     mid = lambda k: F.sum(F.col("w") * (F.col("a" + k).cast("double") + F.col("b" + k) + F.col("c" + k)) / 3) / F.sum("w")
     centroid = c.groupBy("mesh_id").agg(*(mid(k).alias("m" + k) for k in "xyz"))
     open_ = edges(mesh.triangles).groupBy("mesh_id").agg(F.max((F.col("n_tri") == 1).cast("int")).alias("open"))
-    base = box.join(centroid, "mesh_id").join(open_, "mesh_id")
+    base = box.join(centroid.hint("merge"), "mesh_id").join(open_.hint("merge"), "mesh_id")
     half = F.col("diag") / 2
     r = F.when(F.col("open") == 1, F.greatest(0.15 * half, F.lit(1e-6))).otherwise(F.greatest(2 * half, F.lit(1e-6)))
     at = [F.when(F.col("open") == 1, F.col("m" + k)).otherwise((F.col("lo" + k) + F.col("hi" + k)) / 2) for k in "xyz"]

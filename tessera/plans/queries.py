@@ -32,7 +32,7 @@ def _holes(mesh: Mesh) -> Mesh:
 def summary(mesh: Mesh) -> DataFrame:
     e = edges(mesh.triangles).groupBy("mesh_id").agg(F.sum((F.col("n_tri") == 1).cast("long")).alias("n_boundary"), F.sum((F.col("n_tri") > 2).cast("long")).alias("n_nonmanifold"))
     a = foundations.areas(mesh).groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_tri"), F.sum("area").alias("area"))
-    return rounded(a.join(e, "mesh_id"))
+    return rounded(a.join(e.hint("merge"), "mesh_id"))
 
 
 def _adjacency(m: Mesh) -> DataFrame:
@@ -58,13 +58,13 @@ def _mean_edge(m: Mesh) -> DataFrame:
     h = halfedges(m.triangles)
     at = m.vertices
     for k in ("src", "dst"):
-        h = h.join(at.select("mesh_id", F.col("vid").alias(k), *(F.col(c).alias(k + c) for c in "xyz")), ["mesh_id", k])
+        h = h.join(at.select("mesh_id", F.col("vid").alias(k), *(F.col(c).alias(k + c) for c in "xyz")).hint("merge"), ["mesh_id", k])
     return h.groupBy("mesh_id").agg(F.avg(V.norm(V.sub(V.vec("src"), V.vec("dst")))).alias("mean_edge"))
 
 
 def _quantized(m: Mesh) -> DataFrame:
     """Heights in their mesh's extent at 14 and 8 bits, as half numbers, with 7 bits of mantissa, and back."""
-    at = m.vertices.join(bounds(m.vertices).select("mesh_id", "loz", "extent"), "mesh_id")
+    at = m.vertices.join(bounds(m.vertices).select("mesh_id", "loz", "extent").hint("merge"), "mesh_id")
     u = (F.col("z").cast("double") - F.col("loz")) / F.col("extent")
     rows = at.select("mesh_id", "vid", quantize.unorm(u, 14).alias("u14"), quantize.snorm(u * 2 - 1, 8).alias("s8"), quantize.half(F.col("z") - 10).alias("h"), quantize.shortened(F.col("z"), 7).alias("short"))
     return rows.select("*", quantize.from_unorm(F.col("u14"), 14).alias("u"), quantize.from_snorm(F.col("s8"), 8).alias("s"), quantize.from_half(F.col("h")).alias("back"))
@@ -93,13 +93,13 @@ def _exponentials(m: Mesh) -> DataFrame:
     shared = v.groupBy("mesh_id").agg(F.max(quantize.power(F.col("z"))).alias("of_column"))
     z, own = F.col("z"), quantize.power(F.col("z"))
     of_vector = F.greatest(*(quantize.power(F.col(c)) for c in "xyz"))
-    rows = v.join(shared, "mesh_id").select("mesh_id", "vid", *(quantize.exponential(z, p, 12).alias(n) for n, p in (("own", own), ("vector", of_vector), ("component", F.col("of_column")), ("clamped", quantize.power(z, 0)))))
+    rows = v.join(shared.hint("merge"), "mesh_id").select("mesh_id", "vid", *(quantize.exponential(z, p, 12).alias(n) for n, p in (("own", own), ("vector", of_vector), ("component", F.col("of_column")), ("clamped", quantize.power(z, 0)))))
     return rows.select("*", *(quantize.from_exponential(F.col(n)).alias(n + "_back") for n in ("own", "vector", "component", "clamped")))
 
 
 def _colors(m: Mesh) -> DataFrame:
     """Places in their mesh's extent as colours of 8 bits, in another colour space, and back."""
-    at = m.vertices.join(bounds(m.vertices), "mesh_id")
+    at = m.vertices.join(bounds(m.vertices).hint("merge"), "mesh_id")
     r, g, b = ((F.col(c).cast("double") - F.col("lo" + c)) / F.col("extent") for c in "xyz")
     c = at.select("mesh_id", "vid", *(k.alias(n) for k, n in zip(quantize.color(r, g, b, (r + g) / 2, 8), ("luma", "orange", "lime", "alpha"))))
     return c.select("*", *(k.alias(n) for k, n in zip(quantize.from_color(*(F.col(n) for n in ("luma", "orange", "lime", "alpha"))), "rgba")))

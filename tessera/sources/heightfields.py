@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.model import Mesh, halfedges
+from tessera.model import Mesh, dealt, halfedges
 
 
 def heightfield(points: DataFrame, key: str, height: str, width: int, rows_per_mesh: int) -> Mesh:
     """Points with gap-free keys from 0 become grids ``width`` wide and ``rows_per_mesh`` deep, two triangles to a cell."""
     per = width * rows_per_mesh
-    p = points.select(F.col(key).cast("long").alias("k"), F.col(height).cast("double").alias("h"))
-    v = p.selectExpr(f"k div {per} AS mesh_id", f"k % {per} AS vid", f"cast(k % {width} AS float) AS x", f"cast((k % {per}) div {width} AS float) AS y", "cast(h AS float) AS z")
+    p = dealt(points.select(F.col(key).cast("long").alias("k"), F.col(height).cast("double").alias("h")).withColumn("mesh_id", F.expr(f"k div {per}")), 1)
+    v = p.selectExpr("mesh_id", f"k % {per} AS vid", f"cast(k % {width} AS float) AS x", f"cast((k % {per}) div {width} AS float) AS y", "cast(h AS float) AS z")
     cells = v.where(F.col("x") < width - 1)
     last = v.groupBy("mesh_id").agg(F.max("vid").alias("top"))
-    cells = cells.join(last, "mesh_id").where(F.col("vid") + width + 1 <= F.col("top"))
+    cells = cells.join(last.hint("merge"), "mesh_id").where(F.col("vid") + width + 1 <= F.col("top"))
     two = F.array(
         F.struct((2 * F.col("vid")).alias("tid"), F.col("vid").alias("i0"), (F.col("vid") + 1).alias("i1"), (F.col("vid") + width + 1).alias("i2")),
         F.struct((2 * F.col("vid") + 1).alias("tid"), F.col("vid").alias("i0"), (F.col("vid") + width + 1).alias("i1"), (F.col("vid") + width).alias("i2")),
@@ -38,7 +38,7 @@ def orders(spark: SparkSession, sf_dir: str) -> Mesh:
 def soup(mesh: Mesh) -> Mesh:
     """The mesh with three fresh vertices to a triangle."""
     h = halfedges(mesh.triangles).select("mesh_id", "tid", "k", F.col("src").alias("vid"))
-    v = h.join(mesh.vertices, ["mesh_id", "vid"]).select("mesh_id", (3 * F.col("tid") + F.col("k")).alias("vid"), "x", "y", "z")
+    v = h.join(mesh.vertices.hint("merge"), ["mesh_id", "vid"]).select("mesh_id", (3 * F.col("tid") + F.col("k")).alias("vid"), "x", "y", "z")
     t = mesh.triangles.select("mesh_id", "tid", *((3 * F.col("tid") + k).alias(f"i{k}") for k in range(3)))
     return Mesh(v, t)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.model import Mesh
+from tessera.model import Mesh, dealt
 
 #: Points around, and rings of them.
 AROUND, RINGS = 24, 7
@@ -20,6 +20,7 @@ def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lathes(of: DataFrame) -> Mesh:
     """The meshes of shapes(): ring i of points j, with quadrangles cut along alternating diagonals; the outside is counterclockwise."""
+    of = dealt(of, AROUND * RINGS)
     step = 6.283185307179586 / AROUND
     ring = "cast(vid div {n} AS double)".format(n=AROUND)
     v = of.withColumn("vid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(AROUND * RINGS - 1).cast("long")))).selectExpr("*", f"{ring} / {RINGS - 1} AS u", f"vid % {AROUND} AS j")

@@ -329,3 +329,49 @@ def test_vertex_filters(spark):
     for r in codes.select("*", *(k.alias("o" + n) for k, n in zip(quantize.from_color(*(F.col(n) for n in "yuvw")), "rgba"))).collect():
         # the halved differences lose a bit each, alpha its lowest
         assert all(abs(r["o" + n] - int(r[n] * 255 + 0.5)) <= 1 for n in "rgb") and abs(r.oa - r.a * 255) <= 1.6
+
+
+JOINED = "welded crease_edges crease_rings cross_sections orientation shadow_indices tessellation_indices vertex_remap section_stack aligned adjacency region_area"
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("tables"))
+    spark.range(12).selectExpr("id AS s_suppkey").coalesce(1).write.parquet(f"{at}/supplier.parquet")
+    spark.range(600).selectExpr("id AS p_partkey", "900D + (id * 37) % 101 AS p_retailprice").coalesce(1).write.parquet(f"{at}/part.parquet")
+    return at
+
+
+@pytest.mark.parametrize("name", JOINED.split())
+def test_joins_gather_no_table_on_the_driver(spark, tables, name):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["mesh_" + name](spark, tables)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_rounds_of_labels_gather_no_table_on_the_driver(spark, monkeypatch):
+    from tessera.operators import graph
+
+    plans, keep = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    segmentation.smooth_regions(mesh(spark, (OCTA_P, OCTA_T)), 80.0).collect()
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
+
+
+def test_a_small_file_of_shapes_is_dealt_to_all_cores(spark, tables):
+    from tessera.sources import heightfields
+
+    for m in (lathes.lathes(lathes.shapes(spark, tables)), heightfields.parts(spark, tables)):
+        assert m.vertices.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("name", "boundary_loops cluster_bounds region_area adjacency crease_edges".split())
+def test_tasks_hold_no_more_meshes_when_there_are_more(spark, tables, monkeypatch, name):
+    import __spark_entry__
+    from tessera import model
+
+    monkeypatch.setattr(model, "FILL", 20)
+    plan = __spark_entry__.queries()["mesh_" + name](spark, tables)._jdf.queryExecution().executedPlan().toString()
+    n = math.ceil({"boundary_loops": 12 * 168, "cluster_bounds": 3 * 168, "crease_edges": 12 * 168}.get(name, 600) / 20)
+    assert "hashpartitioning(mesh_id" in plan and f", {n}), REPARTITION_BY_NUM" in plan
