@@ -55,19 +55,24 @@ def edge_pairs(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return e[order], f[order], order
 
 
-def neighbours(t: np.ndarray) -> list[tuple[int, int, tuple[int, int]]]:
-    """(triangle, triangle, edge) of each pair of half-edges on one edge."""
+def neighbour_pairs(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(triangle, triangle, edge [., 2]) of each pair of half-edges on one edge, by edge."""
     e, f, _ = edge_pairs(t)
-    out, at = [], 0
-    while at < len(e):
-        end = at + 1
-        while end < len(e) and (e[end] == e[at]).all():
-            end += 1
-        for i in range(at, end):
-            for j in range(i + 1, end):
-                out.append((int(f[i]), int(f[j]), (int(e[at][0]), int(e[at][1]))))
-        at = end
-    return out
+    at, found, step = np.arange(len(e)), [], 1
+    while len(at):
+        at = at[at + step < len(e)]
+        at = at[(e[at] == e[at + step]).all(1)]
+        found.append(np.stack((at, at + step), 1))
+        step += 1
+    both = np.concatenate(found) if found else np.zeros((0, 2), int)
+    both = both[np.lexsort((both[:, 1], both[:, 0]))]
+    return f[both[:, 0]], f[both[:, 1]], e[both[:, 0]]
+
+
+def neighbours(t: np.ndarray) -> list[tuple[int, int, tuple[int, int]]]:
+    """neighbour_pairs() as a list."""
+    a, b, e = neighbour_pairs(t)
+    return list(zip(a.tolist(), b.tolist(), map(tuple, e.tolist())))
 
 
 class Sets:

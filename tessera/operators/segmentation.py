@@ -16,11 +16,7 @@ from tessera.model import Mesh
 from tessera.operators import fitting
 from tessera.operators.foundations import adjacency_pairs, face_normals
 from tessera.operators.graph import components
-from tessera.operators.permesh import Sets, cross, neighbours, per_mesh, unit, weld
-
-#: Above so many regions, nearly coplanar ones are joined first, and merging is skipped if that isn't enough.
-MOST_REGIONS, COPLANAR_DEGREES, PASSES = 1500, 2.0, 60
-
+from tessera.operators.permesh import Sets, cross, neighbour_pairs, per_mesh, unit, weld
 
 @dataclass(frozen=True)
 class SegmentOptions:
@@ -57,18 +53,19 @@ def smooth_regions(mesh: Mesh, max_dihedral: float = 20.0) -> DataFrame:
 
 
 def _grown(t: np.ndarray, n: np.ndarray, o: SegmentOptions, order: Iterable[int] | None) -> list[list[int]]:
-    pairs, least = neighbours(t), math.cos(math.radians(o.max_dihedral))
+    first, second, _ = neighbour_pairs(t)
+    least = math.cos(math.radians(o.max_dihedral))
     if order is None:
         sets = Sets(len(t))
-        for a, b, _ in pairs:
-            if n[a] @ n[b] >= least:
-                sets.join(a, b)
+        smooth = (n[first] * n[second]).sum(1) >= least
+        for a, b in zip(first[smooth].tolist(), second[smooth].tolist()):
+            sets.join(a, b)
         groups: dict[int, list[int]] = {}
         for i in range(len(t)):
             groups.setdefault(sets.find(i), []).append(i)
         return list(groups.values())
     near: list[list[int]] = [[] for _ in range(len(t))]
-    for a, b, _ in pairs:
+    for a, b in zip(first.tolist(), second.tolist()):
         near[a].append(b)
         near[b].append(a)
     taken, out = np.zeros(len(t), bool), []
@@ -92,35 +89,30 @@ def _fit(p: np.ndarray, t: np.ndarray, n: np.ndarray, rows: list[int]) -> fittin
 
 
 def _merged(p, t, welded, n, regions: list[list[int]], o: SegmentOptions, diag: float):
-    """Regions joined in order of the flattest shared edge while the union fits as well; (regions, fits, skipped)."""
-    tolerance = max(o.merge_tolerance * diag, 1e-6)
-
-    def bends(of: dict[int, int]) -> dict[tuple[int, int], float]:
-        out: dict[tuple[int, int], float] = {}
-        for a, b, _ in neighbours(welded):
-            x, y = of[a], of[b]
-            if x != y:
-                k = (min(x, y), max(x, y))
-                out[k] = min(out.get(k, 1.0), float(n[a] @ n[b]))
-        return out
-
-    owner = lambda: {i: k for k, r in enumerate(regions) for i in r}
-    if len(regions) > MOST_REGIONS:
-        sets = Sets(len(regions))
-        for (a, b), d in bends(owner()).items():
-            if d >= math.cos(math.radians(COPLANAR_DEGREES)):
-                sets.join(a, b)
-        groups: dict[int, list[int]] = {}
+    """Regions joined in order of the flattest shared edge while the union fits as well, until no pair does; (regions, fits)."""
+    tolerance, least = max(o.merge_tolerance * diag, 1e-6), math.cos(math.radians(o.max_merge_angle))
+    first, second, _ = neighbour_pairs(welded)
+    bend = (n[first] * n[second]).sum(1)
+
+    def steps() -> list[tuple[int, int]]:
+        """Pairs of regions whose sharpest shared edge is flat enough, the flattest first."""
+        own = np.zeros(len(t), int)
         for k, r in enumerate(regions):
-            groups.setdefault(sets.find(k), []).extend(r)
-        regions = [sorted(r) for r in groups.values()]
-    if len(regions) > MOST_REGIONS:
-        return regions, [_fit(p, t, n, r) for r in regions], True
+            own[r] = k
+        x, y = own[first], own[second]
+        lo, hi, d = np.minimum(x, y)[x != y], np.maximum(x, y)[x != y], np.minimum(bend[x != y], 1.0)
+        order = np.lexsort((d, hi, lo))
+        lo, hi, d = lo[order], hi[order], d[order]
+        sharpest = np.ones(len(d), bool)
+        sharpest[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        lo, hi, d = (c[sharpest & (d >= least)] for c in (lo, hi, d))
+        order = np.lexsort((hi, lo, -d))
+        return list(zip(lo[order].tolist(), hi[order].tolist()))
+
     fits = [_fit(p, t, n, r) for r in regions]
-    for _ in range(PASSES):
-        steps = sorted(((-d, k) for k, d in bends(owner()).items() if d >= math.cos(math.radians(o.max_merge_angle))))
+    while True:
         now, changed = list(range(len(regions))), False
-        for _, (a, b) in steps:
+        for a, b in steps():
             while now[a] != a:
                 a = now[a]
             while now[b] != b:
@@ -135,21 +127,20 @@ def _merged(p, t, welded, n, regions: list[list[int]], o: SegmentOptions, diag:
         fits = [f for r, f in zip(regions, fits) if r]
         regions = [r for r in regions if r]
         if not changed:
-            break
-    return regions, fits, False
+            return regions, fits
 
 
 def segment(p: np.ndarray, t: np.ndarray, o: SegmentOptions, seeds: np.ndarray | None = None):
-    """(regions, fits, triangles left out, whether merging was skipped) of one mesh."""
+    """(regions, fits, triangles left out, whether merging was skipped: it never is) of one mesh."""
     if not len(t):
         return [], [], 0, False
     diag = float(np.linalg.norm(p.max(0) - p.min(0)))
     remap, _ = weld(p, o.weld_tolerance)
     welded, n = remap[t], unit(cross(p, t))
-    regions, fits, skipped = _merged(p, t, welded, n, _grown(welded, n, o, seeds), o, diag)
+    regions, fits = _merged(p, t, welded, n, _grown(welded, n, o, seeds), o, diag)
     both = sorted(((r, f) for r, f in zip(regions, fits) if len(r) >= o.min_region_triangles), key=lambda x: (-len(x[0]), min(x[0])))
     both = both if o.max_regions is None else both[: max(0, o.max_regions)]
-    return [r for r, _ in both], [f for _, f in both], len(t) - sum(len(r) for r, _ in both), skipped
+    return [r for r, _ in both], [f for _, f in both], len(t) - sum(len(r) for r, _ in both), False
 
 
 def splitmix64(x: int) -> int:

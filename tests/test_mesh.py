@@ -375,3 +375,17 @@ def test_tasks_hold_no_more_meshes_when_there_are_more(spark, tables, monkeypatc
     plan = __spark_entry__.queries()["mesh_" + name](spark, tables)._jdf.queryExecution().executedPlan().toString()
     n = math.ceil({"boundary_loops": 12 * 168, "cluster_bounds": 3 * 168, "crease_edges": 12 * 168}.get(name, 600) / 20)
     assert "hashpartitioning(mesh_id" in plan and f", {n}), REPARTITION_BY_NUM" in plan
+
+
+def zone(around, rings, r=5.0, most=60.0):
+    """A globe's zone between two parallels, two triangles to a facet."""
+    a, b = np.arange(around) * math.tau / around, np.radians(np.linspace(-most, most, rings))
+    p = np.array([(r * math.cos(y) * math.cos(x), r * math.cos(y) * math.sin(x), r * math.sin(y)) for y in b for x in a])
+    q = [(i * around + j, i * around + (j + 1) % around, (i + 1) * around + (j + 1) % around, (i + 1) * around + j) for i in range(rings - 1) for j in range(around)]
+    return p, np.array([t for a, b, c, d in q for t in ((a, b, c), (a, c, d))])
+
+
+def test_many_regions_are_merged_like_few():
+    few, many = (segmentation.segment(*zone(around, rings), segmentation.SegmentOptions(max_dihedral=1.0)) for around, rings in ((16, 7), (48, 41)))
+    assert len(few[0]) == len(many[0]) == 1 and few[1][0].kind == many[1][0].kind == "sphere"
+    assert len(many[0][0]) == 2 * 48 * 40 and not many[3]
