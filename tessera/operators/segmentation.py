@@ -18,6 +18,10 @@ from tessera.operators.foundations import adjacency_pairs, face_normals
 from tessera.operators.graph import components
 from tessera.operators.permesh import Sets, cross, neighbour_pairs, per_mesh, unit, weld
 
+#: Sampled fits times triangles that are tried at once.
+BATCH = 1 << 15
+
+
 @dataclass(frozen=True)
 class SegmentOptions:
     max_dihedral: float = 20.0
@@ -205,27 +209,36 @@ def ransac(p: np.ndarray, t: np.ndarray, o: RansacOptions):
     n, mid, least = unit(cross(w, t)), p[t].mean(1), math.cos(math.radians(o.normal_angle))
     rest, found, trial = np.arange(len(t)), [], 0
 
-    def inliers(f: fitting.Fit) -> np.ndarray:
-        near = distance(f) <= eps
-        return rest[near & (np.abs((fitting.normals_of(f.kind, f.params, mid[rest]) * n[rest]).sum(1)) >= least)]
-
-    def distance(f):
-        return fitting.distance(f.kind, f.params, mid[rest])
+    def inliers(kind: str, params) -> np.ndarray:
+        return rest[fitting.holds(kind, np.array([params]), mid[rest], n[rest], eps, least)[0]]
 
     while len(rest) >= max(o.min_support, o.sample_size):
-        best, best_fit, budget, done = rest[:0], None, o.max_candidates, 0
+        most, best_fit, budget, done = 0, None, o.max_candidates, 0
+        tries: list[list[tuple[int, str, np.ndarray]]] = []
+        ahead = 4
         while done < budget:
+            if not tries:  # fits of several trials at once, taken up one trial after the other
+                ahead = min(2 * ahead, max(1, BATCH // len(rest)))
+                rows = np.array([rest[sample(len(rest), o.sample_size, trial + 1 + k)] for k in range(min(budget - done, ahead))])
+                tries = [[] for _ in rows]
+                for kind, ok, params in fitting.sampled_fits(p, t[rows], n[rows]):
+                    count = fitting.holds(kind, params, mid[rest], n[rest], eps, least).sum(1)
+                    for k in np.nonzero(ok)[0].tolist():
+                        tries[k].append((int(count[k]), kind, params[k]))
+                tries.reverse()
             done, trial = done + 1, trial + 1
-            rows = rest[sample(len(rest), o.sample_size, trial)]
-            for f in fitting.all_fits(p[np.unique(t[rows])], n[rows]):
-                got = inliers(f)
-                if len(got) > len(best):
-                    best, best_fit = got, f
-                    budget = needed_trials(len(best) / len(rest), o.probability, o.sample_size, o.max_candidates)
+            for count, kind, params in tries.pop():
+                if count > most:
+                    most, best_fit = count, (kind, params)
+                    budget = needed_trials(most / len(rest), o.probability, o.sample_size, o.max_candidates)
+            if most == len(rest):  # no later trial of this round can find more
+                trial += max(0, budget - done)
+                break
+        best = inliers(*best_fit) if most else rest[:0]
         if len(best) < o.min_support:
             break
         for f in fitting.all_fits(p[np.unique(t[best])], n[best]):
-            if f.kind == best_fit.kind and len(got := inliers(f)) > len(best):
+            if f.kind == best_fit[0] and len(got := inliers(f.kind, f.params)) > len(best):
                 best = got
         taken = [best[g] for g in clusters(mid[best], reach) if len(g) >= o.min_support]
         if not taken:

@@ -389,3 +389,20 @@ def test_many_regions_are_merged_like_few():
     few, many = (segmentation.segment(*zone(around, rings), segmentation.SegmentOptions(max_dihedral=1.0)) for around, rings in ((16, 7), (48, 41)))
     assert len(few[0]) == len(many[0]) == 1 and few[1][0].kind == many[1][0].kind == "sphere"
     assert len(many[0][0]) == 2 * 48 * 40 and not many[3]
+
+
+def test_fits_of_many_samples_are_those_of_each():
+    p, t = zone(16, 7)
+    p = p * [1, 1.3, 0.7] + 0.05 * np.sin(np.arange(3 * len(p))).reshape(-1, 3)
+    n = segmentation.unit(segmentation.cross(p, t))
+    rows = np.array([[(7 * k + 11 * i * (k + 1)) % len(t) for i in range(6)] for k in range(20)] + [[0, 1, 2, 3, 4, 5]])
+    many = fitting.sampled_fits(p, t[rows], n[rows])
+    for k, r in enumerate(rows):
+        each = {f.kind: f.params for f in fitting.all_fits(p[np.unique(t[r])], n[r])}
+        assert {kind for kind, ok, _ in many if ok[k]} == set(each)
+        for kind, ok, q in many:
+            if ok[k]:
+                near = fitting.distance(kind, each[kind], p[t].mean(1)) <= 0.2
+                near &= np.abs((fitting.normals_of(kind, each[kind], p[t].mean(1)) * n).sum(1)) >= 0.9
+                assert q[k] == pytest.approx(each[kind], rel=1e-6, abs=1e-6) or kind == "plane" and q[k] == pytest.approx(-np.array(each[kind]), abs=1e-6)
+                assert (fitting.holds(kind, q[k : k + 1], p[t].mean(1), n, 0.2, 0.9)[0] == near).all()
