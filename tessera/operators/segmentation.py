@@ -263,25 +263,31 @@ def coverage(p: np.ndarray, t: np.ndarray, regions: list[list[int]], fits: list[
 REGIONS = "mesh_id long, strategy string, region_id long, tids array<long>, n_tri long, area double, kind string, params array<double>, rms double, most double, inliers double, left_out long, skipped boolean, score double"
 
 
+def ways(p: np.ndarray, t: np.ndarray, o: SegmentOptions | RansacOptions, auto: bool) -> list[tuple]:
+    """(name, regions, fits, triangles left out, skipped) of the ways that ``o`` and ``auto`` ask for."""
+    out = []
+    if auto or isinstance(o, SegmentOptions):
+        so = o if isinstance(o, SegmentOptions) else SegmentOptions()
+        seeds = None
+        if so.curvature_seeding and len(t):
+            from tessera.operators.curvature import vertex_curvatures
+
+            remap, first = weld(p, so.weld_tolerance)
+            k = np.abs(vertex_curvatures(p[first], remap[t])[:, :2]).max(1)
+            seeds = np.argsort(k[remap[t]].mean(1), kind="stable")
+        out.append(("dihedral", *segment(p, t, so, seeds)))
+    # no way covers more than everything, and a tie is the first one's
+    if not out or auto and coverage(p, t, out[0][1], out[0][2]) < 1 - 1e-12:
+        out.append(("ransac", *ransac(p, t, o if isinstance(o, RansacOptions) else RansacOptions()), False))
+    return out
+
+
 def segmented(mesh: Mesh, options: SegmentOptions | RansacOptions | None = None, auto: bool = False) -> DataFrame:
     """One row per region. With ``auto`` both ways are run and the one with the better coverage is kept (smooth growing on a tie)."""
     o = options or SegmentOptions()
 
     def run(mesh_id, p, t, ids):
-        ways = []
-        if auto or isinstance(o, SegmentOptions):
-            so = o if isinstance(o, SegmentOptions) else SegmentOptions()
-            seeds = None
-            if so.curvature_seeding and len(t):
-                from tessera.operators.curvature import vertex_curvatures
-
-                remap, first = weld(p, so.weld_tolerance)
-                k = np.abs(vertex_curvatures(p[first], remap[t])[:, :2]).max(1)
-                seeds = np.argsort(k[remap[t]].mean(1), kind="stable")
-            ways.append(("dihedral", *segment(p, t, so, seeds)))
-        if auto or isinstance(o, RansacOptions):
-            ways.append(("ransac", *ransac(p, t, o if isinstance(o, RansacOptions) else RansacOptions()), False))
-        name, regions, fits, out, skipped = max(ways, key=lambda w: coverage(p, t, w[1], w[2]))
+        name, regions, fits, out, skipped = max(ways(p, t, o, auto), key=lambda w: coverage(p, t, w[1], w[2]))
         a = 0.5 * np.linalg.norm(cross(p, t), axis=1)
         score = coverage(p, t, regions, fits)
         rows = [(mesh_id, name, i, r, len(r), float(a[r].sum()), f.kind, list(f.params), f.rms, f.most, f.inliers, out, skipped, score) for i, (r, f) in enumerate(zip(regions, fits))]

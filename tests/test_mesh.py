@@ -406,3 +406,12 @@ def test_fits_of_many_samples_are_those_of_each():
                 near &= np.abs((fitting.normals_of(kind, each[kind], p[t].mean(1)) * n).sum(1)) >= 0.9
                 assert q[k] == pytest.approx(each[kind], rel=1e-6, abs=1e-6) or kind == "plane" and q[k] == pytest.approx(-np.array(each[kind]), abs=1e-6)
                 assert (fitting.holds(kind, q[k : k + 1], p[t].mean(1), n, 0.2, 0.9)[0] == near).all()
+
+
+def test_auto_tries_the_second_way_only_where_it_can_win(monkeypatch):
+    p, t = zone(16, 7)
+    both = segmentation.ways(p[:, [0, 1, 2]] + 0.3 * np.sin(np.arange(3 * len(p))).reshape(-1, 3), t, segmentation.SegmentOptions(), True)
+    assert [w[0] for w in both] == ["dihedral", "ransac"]
+    monkeypatch.setattr(segmentation, "ransac", None)
+    (only,) = segmentation.ways(p, t, segmentation.SegmentOptions(), True)
+    assert only[0] == "dihedral" and len(only[1]) == 1 and only[2][0].kind == "sphere"
