@@ -91,3 +91,16 @@ class Sets:
         a, b = self.find(a), self.find(b)
         self.of[max(a, b)] = min(a, b)
         return min(a, b)
+
+
+def least_reachable(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Of each of n nodes the least that it reaches over the links (a, b)."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        far = x != y
+        if not far.any():
+            return label
+        np.minimum.at(label, np.maximum(x, y)[far], np.minimum(x, y)[far])
+        while (up := label[label]).tobytes() != label.tobytes():
+            label = up

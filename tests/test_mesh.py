@@ -415,3 +415,15 @@ def test_auto_tries_the_second_way_only_where_it_can_win(monkeypatch):
     monkeypatch.setattr(segmentation, "ransac", None)
     (only,) = segmentation.ways(p, t, segmentation.SegmentOptions(), True)
     assert only[0] == "dihedral" and len(only[1]) == 1 and only[2][0].kind == "sphere"
+
+
+def test_links_that_branch_or_fall_apart_need_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(foundations, "LINKS", 2)
+    monkeypatch.setattr(foundations, "label_components", None)
+    fan = [(0, k, k + 1) for k in range(1, 40)] + [(0, 40, 1)]
+    shells = [(0, a, b) for a, b in ((1, 2), (2, 3), (3, 1), (4, 5), (5, 6), (6, 4))] + [(1, 3, 2), (4, 6, 5)]
+    book, bow, one = [(0, 1, 2), (0, 1, 3), (0, 1, 4)], [(0, 1, 2), (2, 3, 4)], [(0, 1, 2)]
+    m = mesh(spark, *(([(0, 0, 0)] * 41, t) for t in (fan, shells, book, bow, one, fan[:-1], [*fan[:10], *fan[15:20], *fan[25:]])))
+    found = {tuple(r) for r in foundations.nonmanifold_vertices(m.triangles).collect()}
+    assert found == {(1, 0), (2, 0), (2, 1), (3, 2), (6, 0)}
+    assert foundations.pinched(*np.zeros((3, 0), int)).tolist() == []
