@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERTICES = "mesh_id long, vid long, x float, y float, z float"
@@ -16,7 +16,7 @@ TRIANGLES = "mesh_id long, tid long, i0 long, i1 long, i2 long"
 
 
 #: Vertices to a partition of a source's meshes.
-FILL = 1 << 17
+FILL = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -28,11 +28,24 @@ class Mesh:
 def dealt(rows: DataFrame, vertices: int) -> DataFrame:
     """Rows that stand for so many vertices each, dealt by mesh_id to partitions of about FILL vertices (and one for each core at least).
 
-    Small files are one task to Spark, whatever is made of them. What is dealt by mesh_id also meets and groups without another shuffle.
+    Small files are one task to Spark, whatever is made of them. What is dealt by mesh_id also groups without another shuffle, and meets
+    without one after joined_where_dealt().
     """
     return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() * vertices / FILL)), "mesh_id")
 
 
+def joined_where_dealt(spark: SparkSession, on: bool) -> None:
+    """Joins by mesh_id and more stay where both sides were dealt by mesh_id, or (``on`` false) the session's own setting holds again.
+
+    Spark would shuffle both sides by all keys, to as many partitions as the session names, however large the tables are.
+    """
+    name, own = "spark.sql.requireAllClusterKeysForCoPartition", "_tessera_co_partition"
+    if on and not hasattr(spark, own):
+        setattr(spark, own, spark.conf.get(name, "true"))
+    if hasattr(spark, own):
+        spark.conf.set(name, "false" if on else getattr(spark, own))
+
+
 def corners(mesh: Mesh) -> DataFrame:
     """Every triangle with the positions of its corners: mesh_id, tid, i0..i2, ax..cz. Indices without a vertex drop out."""
     out = mesh.triangles
