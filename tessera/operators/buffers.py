@@ -23,8 +23,8 @@ def vertex_remap(mesh: Mesh, key: tuple[str, ...] = POSITION) -> DataFrame:
 
 def position_remap(mesh: Mesh, key: tuple[str, ...] = POSITION) -> DataFrame:
     """mesh_id, vid, first: the first vertex that is equal in ``key``."""
-    first = mesh.vertices.groupBy("mesh_id", *key).agg(F.min("vid").alias("first"))
-    return mesh.vertices.join(first.hint("merge"), ["mesh_id", *key]).select("mesh_id", "vid", "first")
+    there = mesh.vertices.where(" AND ".join(f"{k} IS NOT NULL" for k in key))
+    return there.select("mesh_id", "vid", F.min("vid").over(Window.partitionBy("mesh_id", *key)).alias("first"))
 
 
 def shadow_indices(mesh: Mesh, key: tuple[str, ...] = POSITION) -> DataFrame:
