@@ -46,12 +46,14 @@ def adjacency_indices(mesh: Mesh) -> DataFrame:
 def tessellation_indices(mesh: Mesh) -> DataFrame:
     """mesh_id, tid, i0..i2, the opposite edge of each side (o0a, o0b, ..: its own side turned, or itself on a border) and the first vertex at
     each corner's place (d0..d2). Sides meet by place, so seams are crossed."""
-    at = position_remap(mesh)
-    h = halfedges(mesh.triangles).select("mesh_id", "tid", "k", "src", "dst")
-    for end in ("src", "dst"):
-        h = h.join(at.select("mesh_id", F.col("vid").alias(end), F.col("first").alias(end + "_at")).hint("merge"), ["mesh_id", end])
-    first = h.groupBy("mesh_id", F.col("src_at").alias("dst_at"), F.col("dst_at").alias("src_at")).agg(F.min(F.struct("tid", "k", "src", "dst")).alias("o"))
-    side = h.join(first.hint("merge"), ["mesh_id", "src_at", "dst_at"], "left").select(
+    at = remapped(mesh.triangles, position_remap(mesh).withColumnRenamed("first", "wid")).select("mesh_id", "tid", *(F.col(f"i{k}").alias(f"d{k}") for k in range(3)))
+    ends = lambda n, k: (F.col(f"{n}{k}"), F.col(f"{n}{(k + 1) % 3}"))
+    each = [F.struct(F.lit(k).alias("k"), *(c.alias(n) for n, c in zip(("src", "dst", "src_at", "dst_at"), (*ends("i", k), *ends("d", k))))) for k in range(3)]
+    h = mesh.triangles.join(at.hint("merge"), ["mesh_id", "tid"]).select("mesh_id", "tid", F.inline(F.array(*each)))
+    # of the sides between two places, the first that runs up and the first that runs down; a side without length is its own
+    w = Window.partitionBy("mesh_id", F.least("src_at", "dst_at"), F.greatest("src_at", "dst_at"))
+    up, down = (F.min(F.when(runs, F.struct("tid", "k", "src", "dst"))).over(w) for runs in (F.col("src_at") <= F.col("dst_at"), F.col("src_at") >= F.col("dst_at")))
+    side = h.select("*", F.when(F.col("src_at") <= F.col("dst_at"), down).otherwise(up).alias("o")).select(
         "mesh_id", "tid", "k", F.col("src").alias("i"), F.coalesce("o.dst", "src").alias("a"), F.coalesce("o.src", "dst").alias("b"), F.col("src_at").alias("d")
     )
     each = [F.max(F.when(F.col("k") == k, F.col(c))).alias(n) for k in range(3) for c, n in (("i", f"i{k}"), ("a", f"o{k}a"), ("b", f"o{k}b"), ("d", f"d{k}"))]
