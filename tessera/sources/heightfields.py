@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.model import Mesh, dealt, halfedges
@@ -13,9 +13,7 @@ def heightfield(points: DataFrame, key: str, height: str, width: int, rows_per_m
     per = width * rows_per_mesh
     p = dealt(points.select(F.col(key).cast("long").alias("k"), F.col(height).cast("double").alias("h")).withColumn("mesh_id", F.expr(f"k div {per}")), 1)
     v = p.selectExpr("mesh_id", f"k % {per} AS vid", f"cast(k % {width} AS float) AS x", f"cast((k % {per}) div {width} AS float) AS y", "cast(h AS float) AS z")
-    cells = v.where(F.col("x") < width - 1)
-    last = v.groupBy("mesh_id").agg(F.max("vid").alias("top"))
-    cells = cells.join(last.hint("merge"), "mesh_id").where(F.col("vid") + width + 1 <= F.col("top"))
+    cells = v.withColumn("top", F.max("vid").over(Window.partitionBy("mesh_id"))).where((F.col("x") < width - 1) & (F.col("vid") + width + 1 <= F.col("top")))
     two = F.array(
         F.struct((2 * F.col("vid")).alias("tid"), F.col("vid").alias("i0"), (F.col("vid") + 1).alias("i1"), (F.col("vid") + width + 1).alias("i2")),
         F.struct((2 * F.col("vid") + 1).alias("tid"), F.col("vid").alias("i0"), (F.col("vid") + width + 1).alias("i1"), (F.col("vid") + width).alias("i2")),
