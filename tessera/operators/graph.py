@@ -42,7 +42,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
     Labels take the least of their neighbours' and are then followed twice; rounds are written out, until none changes.
     """
-    both = stored(links.select("mesh_id", "a", "b").unionAll(links.select("mesh_id", F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    both = stored(links.where("a <> b").select("mesh_id", F.expr("inline(array(struct(a, b), struct(b AS a, a AS b)))")).distinct())
     held = labels = stored(nodes.select("mesh_id", "node", F.col("node").alias("label")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b").hint("merge"), ["mesh_id", "b"]).groupBy("mesh_id", F.col("a").alias("node")).agg(F.min("label").alias("m"))

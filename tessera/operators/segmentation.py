@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vec as V
-from tessera.model import Mesh
+from tessera.model import Mesh, corners
 from tessera.operators import fitting
-from tessera.operators.foundations import adjacency_pairs, face_normals
 from tessera.operators.graph import components
 from tessera.operators.permesh import Sets, cross, neighbour_pairs, per_mesh, unit, weld
 
@@ -48,10 +47,13 @@ class RansacOptions:
 
 def smooth_regions(mesh: Mesh, max_dihedral: float = 20.0) -> DataFrame:
     """mesh_id, tid, label: components of triangles over edges that bend by at most ``max_dihedral`` degrees. DataFrames only."""
-    n = face_normals(mesh)
-    p = adjacency_pairs(mesh.triangles).where("tid < other").join(n.hint("merge"), ["mesh_id", "tid"])
-    o = n.select("mesh_id", F.col("tid").alias("other"), *(F.col("n" + c).alias("m" + c) for c in "xyz"))
-    p = p.join(o.hint("merge"), ["mesh_id", "other"]).where(V.dot(V.vec("n"), V.vec("m")) >= math.cos(math.radians(max_dihedral)))
+    ends = F.array(*(F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")) for a, b in (("i0", "i1"), ("i1", "i2"), ("i2", "i0"))))
+    h = corners(mesh).select("mesh_id", "tid", *V.named(V.unit(V.triangle_cross())), F.inline(ends))
+    # the triangles of an edge are few: gathered once, normals aren't made for either side of a join
+    e = h.groupBy("mesh_id", "lo", "hi").agg(F.collect_list(F.struct("tid", "nx", "ny", "nz")).alias("at")).where(F.size("at") > 1)
+    p = e.select("mesh_id", "at", F.inline("at")).select("mesh_id", "tid", "nx", "ny", "nz", F.explode("at").alias("o")).where("tid < o.tid")
+    p = p.select("mesh_id", "tid", "nx", "ny", "nz", F.col("o.tid").alias("other"), *(F.col(f"o.n{c}").alias("m" + c) for c in "xyz"))
+    p = p.where(V.dot(V.vec("n"), V.vec("m")) >= math.cos(math.radians(max_dihedral)))
     nodes = mesh.triangles.select("mesh_id", F.col("tid").alias("node"))
     return components(nodes, p.select("mesh_id", F.col("tid").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "tid")
 
